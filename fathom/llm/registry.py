@@ -8,16 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
 from .decontaminate import op3_decontaminate
+from .html_text import op10_html
+from .language import op5_language
+from .line_dedup import ORACLE as LINE_DEDUP
+from .line_dedup import op6_line_dedup
+from .line_quality import op9_line_quality
+from .packing import op4_packing
+from .quality_rules import op1_quality_rules
 from .simhash import op2_simhash
+from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
+    "op4_packing": op4_packing,
+    "op5_language": op5_language,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op9_line_quality": op9_line_quality,
+    "op10_html": op10_html,
 }
 
 #: DuckDB's forms of what SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": LINE_DEDUP,
     "op3_decontaminate": r"""
 WITH low AS (
   SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
