@@ -25,7 +25,7 @@ from .common import picked
 #: Characters of a chunk, and by how many it reaches into the next; both in code points.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Pieces whose ids a task remembers before it starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 class Codec(dict):
@@ -45,15 +45,16 @@ class Codec(dict):
         if len(piece) > 256:
             return self._merged_long(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        none, get = len(ranks), ranks.get
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
+            parts[at] = merged = parts[at] + parts.pop(at + 1)
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + merged, none)
+            if at < len(pairs):
+                pairs[at] = get(merged + parts[at + 1], none)
         return [ranks[p] for p in parts]
 
     def _merged_long(self, piece: bytes) -> list[int]:

@@ -3,13 +3,16 @@
 A line's tokens are its distinct shingles of `shingle` lower-cased words. Two lines match if the Jaccard similarity of
 their tokens is at least `similarity`; a line goes if an earlier line, by (document id, line number), matches it.
 
-1. Equal lines are found by a hash of their words. Every line also keeps the first ``n - ceil(similarity * n) + 1`` of its
-   tokens in hash order. Any one order of all tokens makes this prefix filter exact, so lines that share no such token
-   with a different line match none and are done; with shingles of five words that is nearly all of them.
-2. The rest are joined exactly: tokens are counted and ordered by rarity, each line is listed under the tokens of its
-   prefix, and pairs pass the length and positional filters before their Jaccard similarity is verified.
-   Lines under a token that more than `crowd` lines hold aren't paired: a semi-join, which stops at the first
-   earlier match, verifies them.
+Tokens are ordered by rarity: by how often their first word is in the corpus (counts of all words, hashed into a table of
+fixed size), then by hash. Lines that match share a token of their prefixes, the first
+``n - ceil(similarity * n) + 1`` of n tokens in that order.
+
+1. Equal lines are found by a hash of their words. Every line lists (a superset of) its prefix as 32-bit hashes, without
+   hashing its other tokens; a line that shares none of them with a different line matches none and is done.
+2. The rest, the suspects, get all their tokens. Each is verified first against the earliest line under each of its
+   prefix tokens, which finds copies of an original whatever their number. Only lines without such a match are joined
+   with all earlier lines under their tokens: as pairs that pass the length and positional filters, or, under tokens
+   that more than `crowd` lines hold, by a semi-join that stops at the first match.
 
 Lines of fewer than `shingle` words are left alone.
 """
@@ -24,87 +27,108 @@ from .common import checkpointed, documents, small
 SHINGLE, SIMILARITY = 5, 0.8
 #: Lines under one token that are still paired; above it the semi-join takes over.
 CROWD = 64
-#: Rows of an id and a few numbers that may be broadcast once counted: some 30 MB.
-LIST_ROWS = 1 << 20
+#: Buckets of the table of word counts.
+BUCKETS = 1 << 16
+#: Rows of a hash or an id that may be broadcast once counted (some 100 MB), and rows of a document and its lines.
+LIST_ROWS, PLACE_ROWS = 1 << 22, 1 << 19
 SPACE = r"[ \t-\r]+"
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SPACE), "")
+def _hashes(text: Column) -> Column:
+    return F.transform(F.array_remove(F.split(F.lower(text), SPACE), ""), lambda w: F.xxhash64(w))
 
 
-def _tokens(words: str, shingle: int) -> Column:
-    """Distinct hashes of the word shingles of a column of word hashes."""
-    return F.array_distinct(F.transform(
-        F.expr(f"slice({words}, 1, greatest(size({words}) - {shingle - 1}, 0))"),
-        lambda h, i: F.xxhash64(h, *(F.get(words, i + j) for j in range(1, shingle))),
-    ))
+def word_levels(docs: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """How frequent the words of each hash bucket are in all of (id, text): the logarithm of their count."""
+    counts = docs.select(F.explode(F.transform(_hashes(F.col("text")), lambda h: F.pmod(h, F.lit(buckets)))).alias("b")).groupBy("b").agg(F.count("*").alias("n")).toArrow()
+    levels = [0] * buckets
+    for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
+        levels[b] = n.bit_length()
+    return levels
 
 
 def _prefix(n: Column, similarity: float) -> Column:
     return (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
 
 
-def _indexed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, line, key, key2, prefix) of every line of at least `shingle` words."""
+def _ranked(lines: DataFrame, levels: list[int], shingle: int) -> DataFrame:
+    """Adds `ranks`, the rarity of each shingle of the word hashes: its first word's level, then that word's hash."""
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    return lines.withColumn("ranks", F.transform(
+        F.expr(f"slice(hashes, 1, greatest(size(hashes) - {shingle - 1}, 0))"),
+        lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(len(levels))).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8)),
+    ))
+
+
+def _indexed(docs: DataFrame, levels: list[int], shingle: int, similarity: float) -> DataFrame:
+    """(id, line, key, key2, prefix) of every line; prefix is empty for lines of fewer than `shingle` words.
+
+    The first p distinct tokens begin with no more than the p rarest first words, so the tokens of those are taken.
+    """
+    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("id", "line", _hashes(F.col("raw")).alias("hashes"))
+    rarest = F.get(F.sort_array(F.array_distinct("ranks")), _prefix(F.size("ranks"), similarity) - 1)
+    ranked = _ranked(lines, levels, shingle).withColumn("upto", F.coalesce(rarest, F.lit((1 << 63) - 1)))
+    # `upto` is named twice: so it is worked out once a line and not once a word.
+    listed = F.transform("ranks", lambda r, i: F.when((r < F.col("upto")) | (r == F.col("upto")), F.hash(*(F.get("hashes", i + j) for j in range(shingle)))))
+    return ranked.select("id", "line", F.xxhash64("hashes").alias("key"), F.hash("hashes").alias("key2"), F.array_distinct(F.array_compact(listed)).alias("prefix"))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """(key): the keys of (key, x) pairs that are similar."""
+    tokens = lines.select("key", "tokens")
     return (
-        docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-        .select("id", "line", F.transform(_words(F.col("raw")), lambda w: F.xxhash64(w)).alias("hashes"))
-        .filter(F.size("hashes") >= shingle)
-        .withColumn("tokens", _tokens("hashes", shingle))
-        .select("id", "line", F.xxhash64("hashes").alias("key"), F.hash("hashes").alias("key2"), F.slice(F.sort_array("tokens"), F.lit(1), _prefix(F.size("tokens"), similarity)).alias("prefix"))
+        pairs.join(tokens, "key").join(tokens.select(F.col("key").alias("x"), F.col("tokens").alias("x_tokens")), "x")
+        .filter(_similar("tokens", "x_tokens", similarity)).select("key").distinct()
     )
 
 
 def _similar(a: str, b: str, similarity: float) -> Column:
     shared, total = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
-    return shared >= (total - shared) * similarity - 1e-9
+    return (F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * similarity - 1e-9) & (shared >= (total - shared) * similarity - 1e-9)
 
 
-def _near(docs: DataFrame, index: DataFrame, shingle: int, similarity: float, crowd: int) -> DataFrame:
-    """(key): the lines, by the hash of their words, that some earlier different line matches."""
+def _suspects(docs: DataFrame, index: DataFrame, levels: list[int], shingle: int) -> DataFrame:
+    """(key, first, tokens) of the different lines that share a listed token; tokens by rarity."""
     listed = index.select("key", F.explode("prefix").alias("token"))
     shared = small(checkpointed(listed.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("token")), LIST_ROWS)
     suspect = small(checkpointed(listed.join(shared, "token", "left_semi").select("key").distinct()), LIST_ROWS)
-    where = F.min(F.struct("id", "line")).alias("first")
-    places = checkpointed(index.select("key", "id", "line").join(suspect, "key", "left_semi").groupBy("key").agg(where))
-    # The text of each suspect line, from its first place.
-    by_doc = places.groupBy(F.col("first.id").alias("at")).agg(F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("lines"))
-    tokens = checkpointed(
-        docs.join(small(checkpointed(by_doc), LIST_ROWS // 8), F.col("id").eqNullSafe(F.col("at")))
-        .withColumn("split", F.split("text", "\n")).select("id", "split", F.explode("lines").alias("x"))
-        .select("x.key", F.struct("id", F.col("x.line").alias("line")).alias("first"), F.transform(_words(F.get("split", F.col("x.line"))), lambda w: F.xxhash64(w)).alias("hashes"))
-        .withColumn("tokens", _tokens("hashes", shingle)).select("key", "first", F.sort_array("tokens").alias("tokens"))
-        .dropDuplicates(["key"])
-    )
-    each = tokens.select("key", F.explode("tokens").alias("token"))
-    counts = checkpointed(each.groupBy("token").agg(F.count("*").alias("df")))
-    ordered = each.join(counts, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rare"))  # as many as a line has tokens
-    n = F.size("rare")
-    prefixes = checkpointed(
-        tokens.select("key", "first").join(ordered, "key")
-        .select("key", "first", n.alias("n"), F.posexplode(F.slice("rare", F.lit(1), _prefix(n, similarity))).alias("at", "x"))
-        .select("key", "first", "n", "at", F.col("x.df").alias("df"), F.col("x.token").alias("token")).filter("df > 1")
+    places = index.select("key", "id", "line").join(suspect, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"))
+    by_doc = checkpointed(places.groupBy(F.col("first.id").alias("at")).agg(F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("lines")))
+    lines = (
+        docs.join(small(by_doc, PLACE_ROWS), F.col("id").eqNullSafe(F.col("at")))
+        .select("id", F.split("text", "\n").alias("split"), F.explode("lines").alias("x")).select("id", F.struct("x.key", "x.line", F.get("split", F.col("x.line")).alias("raw")).alias("x"))
+        .select("x.key", F.struct("id", F.col("x.line").alias("line")).alias("first"), _hashes(F.col("x.raw")).alias("hashes"))
     )
-    columns = ["key", "first", "n", "at", "token"]
-    few = prefixes.filter(F.col("df") <= crowd).select(columns)
-    x, y = few.toDF(*(f"x_{c}" for c in columns)), few.toDF(*(f"y_{c}" for c in columns))
+    tokens = F.sort_array(F.array_distinct(F.transform("ranks", lambda r, i: F.struct(r.alias("r"), F.xxhash64(*(F.get("hashes", i + j) for j in range(shingle))).alias("t")))))
+    ranked = _ranked(lines, levels, shingle).select("key", "first", F.transform(tokens, lambda x: x["t"]).alias("tokens"))
+    return ranked.dropDuplicates(["key"])
+
+
+def _near(docs: DataFrame, index: DataFrame, levels: list[int], shingle: int, similarity: float, crowd: int) -> DataFrame:
+    """(key): the lines, by the hash of their words, that some earlier different line matches."""
+    lines = checkpointed(_suspects(docs, index, levels, shingle))
+    n = F.size("tokens")
+    listed = lines.select("key", "first", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), _prefix(n, similarity))).alias("at", "token"))
+    buckets = checkpointed(listed.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("first", "key")).alias("lead")).filter("df > 1").select("token", "df", F.col("lead.key").alias("lead")))
+    listed = checkpointed(listed.join(buckets, "token"))
+    later = listed.filter("lead <> key")
+    copies = checkpointed(_verified(later.select("key", F.col("lead").alias("x")).distinct(), lines, similarity))
+    rest = checkpointed(later.join(small(copies), "key", "left_anti"))
+    x = listed.filter(F.col("df") <= crowd).select(*(F.col(c).alias(f"x_{c}") for c in ("token", "first", "n", "at")), F.col("key").alias("x"))
     fits = (
-        (F.col("x_first") < F.col("y_first"))
-        & (F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * similarity - 1e-9)
-        & (1 + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1) + F.least("x_at", "y_at") >= (F.col("x_n") + F.col("y_n")) * (similarity / (1 + similarity)) - 1e-9)
+        (F.col("x_first") < F.col("first")) & (F.col("x") != F.col("lead"))
+        & (F.least("x_n", "n") >= F.greatest("x_n", "n") * similarity - 1e-9)
+        & (F.least("x_at", "at") + F.least(F.col("x_n") - F.col("x_at"), F.col("n") - F.col("at")) >= (F.col("x_n") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9)
     )
-    pairs = x.join(y, (F.col("x_token") == F.col("y_token")) & fits).select("x_key", "y_key").distinct()
-    verified = (
-        pairs.join(tokens.select(F.col("key").alias("x_key"), F.col("tokens").alias("x_tokens")), "x_key")
-        .join(tokens.select(F.col("key").alias("y_key"), F.col("tokens").alias("y_tokens")), "y_key")
-        .filter(_similar("x_tokens", "y_tokens", similarity)).select(F.col("y_key").alias("key"))
+    pairs = rest.filter(F.col("df") <= crowd).join(x, (F.col("token") == F.col("x_token")) & fits).select("key", "x").distinct()
+    few = _verified(pairs, lines, similarity)
+    crowded = checkpointed(rest.filter(F.col("df") > crowd).select("key", "first", "token").join(lines.select("key", "tokens"), "key"))
+    others = (
+        listed.filter(F.col("df") > crowd).join(small(checkpointed(crowded.select("token").distinct())), "token", "left_semi")
+        .select("key", F.col("first").alias("x_first"), F.col("token").alias("x_token")).join(lines.select("key", F.col("tokens").alias("x_tokens")), "key").drop("key")
     )
-    many = prefixes.filter(F.col("df") > crowd).select("key", "first", "token").join(tokens.select("key", "tokens"), "key")
-    many = checkpointed(many.select("key", "first", "token", "tokens"))
-    u, v = many.toDF("x_key", "x_first", "x_token", "x_tokens"), many.toDF("key", "first", "token", "tokens")
-    crowded = v.join(u, (F.col("token") == F.col("x_token")) & (F.col("x_first") < F.col("first")) & _similar("tokens", "x_tokens", similarity), "left_semi").select("key")
-    return verified.unionByName(crowded).distinct()
+    many = crowded.join(checkpointed(others), (F.col("token") == F.col("x_token")) & (F.col("x_first") < F.col("first")) & _similar("tokens", "x_tokens", similarity), "left_semi").select("key")
+    return copies.unionByName(few).unionByName(many).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
@@ -113,10 +137,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have no lines that count; rows that repeat an id are one document; a null id comes first.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    index = checkpointed(_indexed(docs, shingle, similarity))
+    levels = word_levels(docs)
+    index = checkpointed(_indexed(docs, levels, shingle, similarity)).filter("size(prefix) > 0")
     firsts = checkpointed(index.groupBy("key", "key2").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "key2", "first"))
     again = index.select("id", "line", "key", "key2").join(small(firsts, LIST_ROWS), ["key", "key2"]).filter(~F.struct("id", "line").eqNullSafe(F.col("first"))).select("id", "line")
-    near = index.select("id", "line", "key").join(small(checkpointed(_near(docs, index, shingle, similarity, crowd)), LIST_ROWS), "key", "left_semi").select("id", "line")
+    near = index.select("id", "line", "key").join(small(checkpointed(_near(docs, index, levels, shingle, similarity, crowd)), LIST_ROWS), "key", "left_semi").select("id", "line")
     return again.unionByName(near).groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 

@@ -8,16 +8,18 @@ its segments, and which tokens of which document each segment holds. Nothing is
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoded
-from .common import documents
+from .common import documents, picked
 
 #: Tokens of a row, tokens that a task packs at once, and the id of the padding (free in the vocabularies).
 LENGTH, WINDOW_TOKENS, PAD = 2048, 1 << 22, 50256
@@ -25,6 +27,29 @@ LENGTH, WINDOW_TOKENS, PAD = 2048, 1 << 22, 50256
 SCHEMA = "pack_id long, n_tokens int, doc_ids array<{id}>, starts array<long>, cu_seqlens array<int>, ids binary, positions binary"
 
 
+def token_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids) of every row: ids by a rank file as little-endian unsigned 32-bit binary; null and empty texts have none."""
+    chosen = picked(docs, id_col, text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = _encoding(path, pattern)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                ids = [np.array(encoding.encode_ordinary(t.as_py() or ""), "<u4").tobytes() for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
+
+    return chosen.mapInArrow(work, f"id {chosen.schema['id'].dataType.simpleString()}, ids binary")
+
+
+@cache
+def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    """One for each Python worker."""
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class Rooms:
     """How many rows have each amount of free room; a segment tree finds the least room of at least a size."""
 
@@ -137,5 +162,5 @@ def write_packed(rows: DataFrame, path: str) -> None:
 def op4_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    tokens = encoded(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    tokens = token_ids(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return packed(tokens)
