@@ -3,16 +3,17 @@
 A line's tokens are its distinct shingles of `shingle` lower-cased words. Two lines match if the Jaccard similarity of
 their tokens is at least `similarity`; a line goes if an earlier line, by (document id, line number), matches it.
 
-Tokens are ordered by rarity: by how often their first word is in the corpus (counts of all words, hashed into a table of
-fixed size), then by hash. Lines that match share a token of their prefixes, the first
-``n - ceil(similarity * n) + 1`` of n tokens in that order.
-
-1. Equal lines are found by a hash of their words. Every line lists (a superset of) its prefix as 32-bit hashes, without
-   hashing its other tokens; a line that shares none of them with a different line matches none and is done.
-2. The rest, the suspects, get all their tokens. Each is verified first against the earliest line under each of its
-   prefix tokens, which finds copies of an original whatever their number. Only lines without such a match are joined
-   with all earlier lines under their tokens: as pairs that pass the length and positional filters, or, under tokens
-   that more than `crowd` lines hold, by a semi-join that stops at the first match.
+Lines that match share a token of their prefixes, the first ``n - ceil(similarity * n) + 1`` of n tokens in any one order
+of all tokens.
+
+1. Equal lines are found by a hash of their words. Every line lists a superset of its prefix in the order of the tokens'
+   first words' hashes, as 32-bit hashes and without hashing its other tokens; a line that shares none of them with a
+   different line matches none and is done.
+2. The rest, the suspects, get all their tokens, ordered by rarity: by the number of times that they occur on suspect
+   lines (counted in a table of hash buckets of fixed size), then by hash. Each line is verified first against the
+   earliest line under each token of its prefix, which finds copies of an original whatever their number. Only lines
+   without such a match are joined with all earlier lines under their tokens: as pairs that pass the length and
+   positional filters, or, under tokens that more than `crowd` lines hold, by a semi-join that stops at the first match.
 
 Lines of fewer than `shingle` words are left alone.
 """
@@ -27,10 +28,11 @@ from .common import checkpointed, documents, small
 SHINGLE, SIMILARITY = 5, 0.8
 #: Lines under one token that are still paired; above it the semi-join takes over.
 CROWD = 64
-#: Buckets of the table of word counts.
+#: Buckets of the table of token counts.
 BUCKETS = 1 << 16
-#: Rows of a hash or an id that may be broadcast once counted (some 100 MB), and rows of a document and its lines.
-LIST_ROWS, PLACE_ROWS = 1 << 22, 1 << 19
+#: Rows that may be broadcast once counted, each some 100 MB at most: hashes, pairs of them, documents with line numbers,
+#: lines with their tokens. Beyond them Spark shuffles.
+LIST_ROWS, PAIR_ROWS, PLACE_ROWS, TOKEN_ROWS = 1 << 22, 1 << 21, 1 << 19, 1 << 17
 SPACE = r"[ \t-\r]+"
 
 
@@ -38,48 +40,51 @@ def _hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), SPACE), ""), lambda w: F.xxhash64(w))
 
 
-def word_levels(docs: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """How frequent the words of each hash bucket are in all of (id, text): the logarithm of their count."""
-    counts = docs.select(F.explode(F.transform(_hashes(F.col("text")), lambda h: F.pmod(h, F.lit(buckets)))).alias("b")).groupBy("b").agg(F.count("*").alias("n")).toArrow()
-    levels = [0] * buckets
-    for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
-        levels[b] = n.bit_length()
-    return levels
-
-
 def _prefix(n: Column, similarity: float) -> Column:
     return (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
 
 
-def _ranked(lines: DataFrame, levels: list[int], shingle: int) -> DataFrame:
-    """Adds `ranks`, the rarity of each shingle of the word hashes: its first word's level, then that word's hash."""
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    return lines.withColumn("ranks", F.transform(
-        F.expr(f"slice(hashes, 1, greatest(size(hashes) - {shingle - 1}, 0))"),
-        lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(len(levels))).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8)),
-    ))
+def _opening(shingle: int) -> Column:
+    """The hashes of the words that begin a shingle."""
+    return F.expr(f"slice(hashes, 1, greatest(size(hashes) - {shingle - 1}, 0))")
 
 
-def _indexed(docs: DataFrame, levels: list[int], shingle: int, similarity: float) -> DataFrame:
+def _indexed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(id, line, key, key2, prefix) of every line; prefix is empty for lines of fewer than `shingle` words.
 
-    The first p distinct tokens begin with no more than the p rarest first words, so the tokens of those are taken.
+    The first p distinct tokens begin with no more than the p smallest first words, so the tokens of those are taken.
     """
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("id", "line", _hashes(F.col("raw")).alias("hashes"))
-    rarest = F.get(F.sort_array(F.array_distinct("ranks")), _prefix(F.size("ranks"), similarity) - 1)
-    ranked = _ranked(lines, levels, shingle).withColumn("upto", F.coalesce(rarest, F.lit((1 << 63) - 1)))
+    opening = _opening(shingle)
+    last = F.get(F.sort_array(F.array_distinct(opening)), _prefix(F.size(opening), similarity) - 1)
+    bounded = lines.withColumn("upto", F.coalesce(last, F.lit((1 << 63) - 1)))
     # `upto` is named twice: so it is worked out once a line and not once a word.
-    listed = F.transform("ranks", lambda r, i: F.when((r < F.col("upto")) | (r == F.col("upto")), F.hash(*(F.get("hashes", i + j) for j in range(shingle)))))
-    return ranked.select("id", "line", F.xxhash64("hashes").alias("key"), F.hash("hashes").alias("key2"), F.array_distinct(F.array_compact(listed)).alias("prefix"))
+    listed = F.transform(opening, lambda h, i: F.when((h < F.col("upto")) | (h == F.col("upto")), F.hash(*(F.get("hashes", i + j) for j in range(shingle)))))
+    return bounded.select("id", "line", F.xxhash64("hashes").alias("key"), F.hash("hashes").alias("key2"), F.array_distinct(F.array_compact(listed)).alias("prefix"))
+
+
+def token_levels(lines: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """How frequent the tokens of each hash bucket are on all lines (tokens): the logarithm of their count."""
+    counts = lines.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(buckets)).alias("b")).agg(F.count("*").alias("n")).toArrow()
+    levels = [0] * buckets
+    for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
+        levels[b] = n.bit_length()
+    return levels
+
+
+def _by_rarity(levels: list[int]) -> Column:
+    """Tokens as numbers in the order of their rarity: the level, then 56 bits of the hash."""
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    return F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(table, F.pmod(t, F.lit(len(levels))).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """(key): the keys of (key, x) pairs that are similar."""
-    tokens = lines.select("key", "tokens")
-    return (
-        pairs.join(tokens, "key").join(tokens.select(F.col("key").alias("x"), F.col("tokens").alias("x_tokens")), "x")
-        .filter(_similar("tokens", "x_tokens", similarity)).select("key").distinct()
-    )
+    """(key): the keys of the distinct (key, x) pairs that are similar."""
+    pairs = checkpointed(pairs)
+    others = lines.join(small(checkpointed(pairs.select(F.col("x").alias("key")).distinct()), LIST_ROWS), "key", "left_semi")
+    others = small(checkpointed(others.select(F.col("key").alias("x"), F.col("tokens").alias("x_tokens"))), TOKEN_ROWS)
+    both = lines.select("key", "tokens").join(small(pairs, PAIR_ROWS), "key").join(others, "x")
+    return both.filter(_similar("tokens", "x_tokens", similarity)).select("key").distinct()
 
 
 def _similar(a: str, b: str, similarity: float) -> Column:
@@ -87,34 +92,39 @@ def _similar(a: str, b: str, similarity: float) -> Column:
     return (F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * similarity - 1e-9) & (shared >= (total - shared) * similarity - 1e-9)
 
 
-def _suspects(docs: DataFrame, index: DataFrame, levels: list[int], shingle: int) -> DataFrame:
-    """(key, first, tokens) of the different lines that share a listed token; tokens by rarity."""
+def _suspects(docs: DataFrame, index: DataFrame, shingle: int) -> DataFrame:
+    """(key, first, tokens) of the different lines that share a listed token."""
     listed = index.select("key", F.explode("prefix").alias("token"))
     shared = small(checkpointed(listed.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("token")), LIST_ROWS)
     suspect = small(checkpointed(listed.join(shared, "token", "left_semi").select("key").distinct()), LIST_ROWS)
     places = index.select("key", "id", "line").join(suspect, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"))
     by_doc = checkpointed(places.groupBy(F.col("first.id").alias("at")).agg(F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("lines")))
-    lines = (
+    tokens = F.array_distinct(F.transform(_opening(shingle), lambda h, i: F.xxhash64(*(F.get("hashes", i + j) for j in range(shingle)))))
+    lines = checkpointed(
         docs.join(small(by_doc, PLACE_ROWS), F.col("id").eqNullSafe(F.col("at")))
-        .select("id", F.split("text", "\n").alias("split"), F.explode("lines").alias("x")).select("id", F.struct("x.key", "x.line", F.get("split", F.col("x.line")).alias("raw")).alias("x"))
-        .select("x.key", F.struct("id", F.col("x.line").alias("line")).alias("first"), _hashes(F.col("x.raw")).alias("hashes"))
+        .select("id", F.split("text", "\n").alias("split"), F.explode("lines").alias("x"))
+        .select("x.key", F.struct("id", F.col("x.line").alias("line")).alias("first"), _hashes(F.get("split", F.col("x.line"))).alias("hashes"))
+        .select("key", "first", tokens.alias("tokens"))
     )
-    tokens = F.sort_array(F.array_distinct(F.transform("ranks", lambda r, i: F.struct(r.alias("r"), F.xxhash64(*(F.get("hashes", i + j) for j in range(shingle))).alias("t")))))
-    ranked = _ranked(lines, levels, shingle).select("key", "first", F.transform(tokens, lambda x: x["t"]).alias("tokens"))
-    return ranked.dropDuplicates(["key"])
+    once = lines.select("key").distinct().count() == lines.count()  # rows may repeat an id
+    return lines if once else checkpointed(lines.dropDuplicates(["key"]))
 
 
-def _near(docs: DataFrame, index: DataFrame, levels: list[int], shingle: int, similarity: float, crowd: int) -> DataFrame:
+def _near(docs: DataFrame, index: DataFrame, shingle: int, similarity: float, crowd: int) -> DataFrame:
     """(key): the lines, by the hash of their words, that some earlier different line matches."""
-    lines = checkpointed(_suspects(docs, index, levels, shingle))
+    lines = _suspects(docs, index, shingle)
     n = F.size("tokens")
-    listed = lines.select("key", "first", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), _prefix(n, similarity))).alias("at", "token"))
-    buckets = checkpointed(listed.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("first", "key")).alias("lead")).filter("df > 1").select("token", "df", F.col("lead.key").alias("lead")))
-    listed = checkpointed(listed.join(buckets, "token"))
+    listed = lines.select("key", "first", n.alias("n"), F.posexplode(F.slice(_by_rarity(token_levels(lines)), F.lit(1), _prefix(n, similarity))).alias("at", "token"))
+    buckets = listed.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("first", "key")).alias("lead")).filter("df > 1")
+    buckets = small(checkpointed(buckets.select("token", "df", F.col("lead.key").alias("lead"))), LIST_ROWS // 4)
+    listed = checkpointed(listed.select("key", "n", "at", "token").join(buckets, "token"))
     later = listed.filter("lead <> key")
     copies = checkpointed(_verified(later.select("key", F.col("lead").alias("x")).distinct(), lines, similarity))
-    rest = checkpointed(later.join(small(copies), "key", "left_anti"))
-    x = listed.filter(F.col("df") <= crowd).select(*(F.col(c).alias(f"x_{c}") for c in ("token", "first", "n", "at")), F.col("key").alias("x"))
+    firsts = lines.select("key", "first")
+    rest = checkpointed(later.join(small(copies, LIST_ROWS), "key", "left_anti").join(firsts, "key"))
+    wanted = small(checkpointed(rest.select("token").distinct()), LIST_ROWS)
+    earlier = checkpointed(listed.join(wanted, "token", "left_semi").join(firsts, "key"))
+    x = earlier.filter(F.col("df") <= crowd).select(*(F.col(c).alias(f"x_{c}") for c in ("token", "first", "n", "at")), F.col("key").alias("x"))
     fits = (
         (F.col("x_first") < F.col("first")) & (F.col("x") != F.col("lead"))
         & (F.least("x_n", "n") >= F.greatest("x_n", "n") * similarity - 1e-9)
@@ -122,12 +132,13 @@ def _near(docs: DataFrame, index: DataFrame, levels: list[int], shingle: int, si
     )
     pairs = rest.filter(F.col("df") <= crowd).join(x, (F.col("token") == F.col("x_token")) & fits).select("key", "x").distinct()
     few = _verified(pairs, lines, similarity)
-    crowded = checkpointed(rest.filter(F.col("df") > crowd).select("key", "first", "token").join(lines.select("key", "tokens"), "key"))
-    others = (
-        listed.filter(F.col("df") > crowd).join(small(checkpointed(crowded.select("token").distinct())), "token", "left_semi")
-        .select("key", F.col("first").alias("x_first"), F.col("token").alias("x_token")).join(lines.select("key", F.col("tokens").alias("x_tokens")), "key").drop("key")
+    tokens = lines.select("key", "tokens")
+    crowded = checkpointed(rest.filter(F.col("df") > crowd).select("key", "first", "token").join(tokens, "key"))
+    others = checkpointed(
+        earlier.filter(F.col("df") > crowd).join(small(checkpointed(crowded.select("token").distinct())), "token", "left_semi")
+        .join(tokens, "key").select(F.col("first").alias("x_first"), F.col("token").alias("x_token"), F.col("tokens").alias("x_tokens"))
     )
-    many = crowded.join(checkpointed(others), (F.col("token") == F.col("x_token")) & (F.col("x_first") < F.col("first")) & _similar("tokens", "x_tokens", similarity), "left_semi").select("key")
+    many = crowded.join(others, (F.col("token") == F.col("x_token")) & (F.col("x_first") < F.col("first")) & _similar("tokens", "x_tokens", similarity), "left_semi").select("key")
     return copies.unionByName(few).unionByName(many).distinct()
 
 
@@ -137,11 +148,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have no lines that count; rows that repeat an id are one document; a null id comes first.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    levels = word_levels(docs)
-    index = checkpointed(_indexed(docs, levels, shingle, similarity)).filter("size(prefix) > 0")
+    index = checkpointed(_indexed(docs, shingle, similarity)).filter("size(prefix) > 0")
     firsts = checkpointed(index.groupBy("key", "key2").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "key2", "first"))
     again = index.select("id", "line", "key", "key2").join(small(firsts, LIST_ROWS), ["key", "key2"]).filter(~F.struct("id", "line").eqNullSafe(F.col("first"))).select("id", "line")
-    near = index.select("id", "line", "key").join(small(checkpointed(_near(docs, index, levels, shingle, similarity, crowd)), LIST_ROWS), "key", "left_semi").select("id", "line")
+    near = index.select("id", "line", "key").join(small(checkpointed(_near(docs, index, shingle, similarity, crowd)), LIST_ROWS), "key", "left_semi").select("id", "line")
     return again.unionByName(near).groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
