@@ -92,6 +92,12 @@ def _similar(a: str, b: str, similarity: float) -> Column:
     return (F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * similarity - 1e-9) & (shared >= (total - shared) * similarity - 1e-9)
 
 
+def _with_tokens(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """`rows` with their keys' tokens; only the lines that they name are shuffled."""
+    named = small(checkpointed(rows.select("key").distinct()), LIST_ROWS)
+    return rows.join(lines.select("key", "tokens").join(named, "key", "left_semi"), "key")
+
+
 def _suspects(docs: DataFrame, index: DataFrame, shingle: int) -> DataFrame:
     """(key, first, tokens) of the different lines that share a listed token."""
     listed = index.select("key", F.explode("prefix").alias("token"))
@@ -132,12 +138,10 @@ def _near(docs: DataFrame, index: DataFrame, shingle: int, similarity: float, cr
     )
     pairs = rest.filter(F.col("df") <= crowd).join(x, (F.col("token") == F.col("x_token")) & fits).select("key", "x").distinct()
     few = _verified(pairs, lines, similarity)
-    tokens = lines.select("key", "tokens")
-    crowded = checkpointed(rest.filter(F.col("df") > crowd).select("key", "first", "token").join(tokens, "key"))
-    others = checkpointed(
-        earlier.filter(F.col("df") > crowd).join(small(checkpointed(crowded.select("token").distinct())), "token", "left_semi")
-        .join(tokens, "key").select(F.col("first").alias("x_first"), F.col("token").alias("x_token"), F.col("tokens").alias("x_tokens"))
-    )
+    crowded = checkpointed(_with_tokens(rest.filter(F.col("df") > crowd).select("key", "first", "token"), lines))
+    wanted = small(checkpointed(crowded.select("token").distinct()))
+    others = _with_tokens(earlier.filter(F.col("df") > crowd).select("key", "first", "token").join(wanted, "token", "left_semi"), lines)
+    others = checkpointed(others.select(*(F.col(c).alias(f"x_{c}") for c in ("first", "token", "tokens"))))
     many = crowded.join(others, (F.col("token") == F.col("x_token")) & (F.col("x_first") < F.col("first")) & _similar("tokens", "x_tokens", similarity), "left_semi").select("key")
     return copies.unionByName(few).unionByName(many).distinct()
 
