@@ -30,9 +30,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 CROWD = 64
 #: Buckets of the table of token counts.
 BUCKETS = 1 << 16
-#: Rows that may be broadcast once counted, each some 100 MB at most: hashes, pairs of them, documents with line numbers,
-#: lines with their tokens. Beyond them Spark shuffles.
-LIST_ROWS, PAIR_ROWS, PLACE_ROWS, TOKEN_ROWS = 1 << 22, 1 << 21, 1 << 19, 1 << 17
+#: What may be broadcast once counted, each some 100 MB at most: rows of hashes, of pairs of them, of documents with line
+#: numbers; tokens of all lines together. Beyond them Spark shuffles.
+LIST_ROWS, PAIR_ROWS, PLACE_ROWS, TOKENS = 1 << 22, 1 << 20, 1 << 19, 1 << 22
 #: White space besides the blank and the line's end.
 OTHER_SPACE = "\t\v\f\r"
 
@@ -86,7 +86,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     """(key): the keys of the distinct (key, x) pairs that are similar."""
     pairs = checkpointed(pairs)
     others = lines.join(small(checkpointed(pairs.select(F.col("x").alias("key")).distinct()), LIST_ROWS), "key", "left_semi")
-    others = small(checkpointed(others.select(F.col("key").alias("x"), F.col("tokens").alias("x_tokens"))), TOKEN_ROWS)
+    others = checkpointed(others.select(F.col("key").alias("x"), F.col("tokens").alias("x_tokens")))
+    if (others.agg(F.sum(F.size("x_tokens") + 8)).first()[0] or 0) <= TOKENS:  # lines may be long, so rows say little
+        others = F.broadcast(others)
     both = lines.select("key", "tokens").join(small(pairs, PAIR_ROWS), "key").join(others, "x")
     return both.filter(_similar("tokens", "x_tokens", similarity)).select("key").distinct()
 
@@ -143,7 +145,7 @@ def _near(docs: DataFrame, index: DataFrame, shingle: int, similarity: float, cr
         & (F.least("x_at", "at") + F.least(F.col("x_n") - F.col("x_at"), F.col("n") - F.col("at")) >= (F.col("x_n") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9)
     )
     pairs = rest.filter(F.col("df") <= crowd).join(x, (F.col("token") == F.col("x_token")) & fits).select("key", "x").distinct()
-    few = _verified(pairs, lines, similarity)
+    few = checkpointed(_verified(pairs, lines, similarity))
     crowded = checkpointed(_with_tokens(rest.filter(F.col("df") > crowd).select("key", "first", "token"), lines))
     wanted = small(checkpointed(crowded.select("token").distinct()))
     others = _with_tokens(earlier.filter(F.col("df") > crowd).select("key", "first", "token").join(wanted, "token", "left_semi"), lines)
