@@ -11,9 +11,10 @@ of all tokens.
    different line matches none and is done.
 2. The rest, the suspects, get all their tokens, ordered by rarity: by the number of times that they occur on suspect
    lines (counted in a table of hash buckets of fixed size), then by hash. Each line is verified first against the
-   earliest line under each token of its prefix, which finds copies of an original whatever their number. Only lines
-   without such a match are joined with all earlier lines under their tokens: as pairs that pass the length and
-   positional filters, or, under tokens that more than `crowd` lines hold, by a semi-join that stops at the first match.
+   earliest line under each token of its prefix, where the length and positional filters let it match; that finds
+   copies of an original whatever their number. Only lines without such a match are joined with all earlier lines
+   under their tokens: as pairs that pass the same filters, or, under tokens that more than `crowd` lines hold, by a
+   semi-join that stops at the first match.
 
 Lines of fewer than `shingle` words are left alone.
 """
@@ -98,6 +99,12 @@ def _similar(a: str, b: str, similarity: float) -> Column:
     return (F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * similarity - 1e-9) & (shared >= (total - shared) * similarity - 1e-9)
 
 
+def _may_match(similarity: float) -> Column:
+    """The length and positional filters: whether lines of n and x_n tokens that share their at-th and x_at-th may match."""
+    most = F.least("x_at", "at") + F.least(F.col("x_n") - F.col("x_at"), F.col("n") - F.col("at"))
+    return (F.least("x_n", "n") >= F.greatest("x_n", "n") * similarity - 1e-9) & (most >= (F.col("x_n") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9)
+
+
 def _with_tokens(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """`rows` with their keys' tokens; only the lines that they name are shuffled."""
     named = small(checkpointed(rows.select("key").distinct()), LIST_ROWS)
@@ -129,21 +136,17 @@ def _near(docs: DataFrame, index: DataFrame, shingle: int, similarity: float, cr
     lines = _suspects(docs, index, shingle)
     n = F.size("tokens")
     listed = lines.select("key", "first", n.alias("n"), F.posexplode(F.slice(_by_rarity(token_levels(lines)), F.lit(1), _prefix(n, similarity))).alias("at", "token"))
-    buckets = listed.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("first", "key")).alias("lead")).filter("df > 1")
-    buckets = small(checkpointed(buckets.select("token", "df", F.col("lead.key").alias("lead"))), LIST_ROWS // 4)
-    listed = checkpointed(listed.select("key", "n", "at", "token").join(buckets, "token"))
+    buckets = listed.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("first", "key", "n", "at")).alias("lead")).filter("df > 1")
+    buckets = small(checkpointed(buckets.select("token", "df", F.col("lead.key").alias("lead"), F.col("lead.n").alias("x_n"), F.col("lead.at").alias("x_at"))), LIST_ROWS // 4)
+    listed = checkpointed(listed.select("key", "n", "at", "token").join(buckets, "token").withColumn("lead_fits", _may_match(similarity)).drop("x_n", "x_at"))
     later = listed.filter("lead <> key")
-    copies = checkpointed(_verified(later.select("key", F.col("lead").alias("x")).distinct(), lines, similarity))
+    copies = checkpointed(_verified(later.filter("lead_fits").select("key", F.col("lead").alias("x")).distinct(), lines, similarity))
     firsts = lines.select("key", "first")
     rest = checkpointed(later.join(small(copies, LIST_ROWS), "key", "left_anti").join(firsts, "key"))
     wanted = small(checkpointed(rest.select("token").distinct()), LIST_ROWS)
     earlier = checkpointed(listed.join(wanted, "token", "left_semi").join(firsts, "key"))
     x = earlier.filter(F.col("df") <= crowd).select(*(F.col(c).alias(f"x_{c}") for c in ("token", "first", "n", "at")), F.col("key").alias("x"))
-    fits = (
-        (F.col("x_first") < F.col("first")) & (F.col("x") != F.col("lead"))
-        & (F.least("x_n", "n") >= F.greatest("x_n", "n") * similarity - 1e-9)
-        & (F.least("x_at", "at") + F.least(F.col("x_n") - F.col("x_at"), F.col("n") - F.col("at")) >= (F.col("x_n") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9)
-    )
+    fits = (F.col("x_first") < F.col("first")) & (F.col("x") != F.col("lead")) & _may_match(similarity)
     pairs = rest.filter(F.col("df") <= crowd).join(x, (F.col("token") == F.col("x_token")) & fits).select("key", "x").distinct()
     few = checkpointed(_verified(pairs, lines, similarity))
     crowded = checkpointed(_with_tokens(rest.filter(F.col("df") > crowd).select("key", "first", "token"), lines))
