@@ -38,11 +38,17 @@ LIST_ROWS, PAIR_ROWS, PLACE_ROWS, TOKENS = 1 << 22, 1 << 20, 1 << 19, 1 << 22
 OTHER_SPACE = "\t\v\f\r"
 
 
-def _hashes(text: Column) -> Column:
-    """The hashes of a line's words; splitting at one character is much faster than at a pattern."""
+def _lines(text: Column | str) -> Column:
+    """The lines of a text, lower-cased, with the blank as their only white space: done once a text and not once a line."""
+    text = F.lower(text)
     for c in OTHER_SPACE:
         text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.transform(F.array_remove(F.split(F.lower(text), " "), ""), lambda w: F.xxhash64(w))
+    return F.split(text, "\n")
+
+
+def _hashes(line: Column | str) -> Column:
+    """The hashes of a line's words; splitting at one character is much faster than at a pattern."""
+    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
 
 
 def _prefix(n: Column, similarity: float) -> Column:
@@ -55,17 +61,17 @@ def _opening(shingle: int) -> Column:
 
 
 def _indexed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, line, key, key2, prefix) of every line; prefix is empty for lines of fewer than `shingle` words.
+    """(id, line, key, key2, prefix) of every line; prefix is empty for lines of fewer than `shingle` words and may hold a null.
 
     The first p distinct tokens begin with no more than the p smallest first words, so the tokens of those are taken.
     """
-    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("id", "line", _hashes(F.col("raw")).alias("hashes"))
+    lines = docs.select("id", F.posexplode(_lines("text")).alias("line", "words")).select("id", "line", _hashes("words").alias("hashes"))
     opening = _opening(shingle)
     last = F.get(F.sort_array(F.array_distinct(opening)), _prefix(F.size(opening), similarity) - 1)
     bounded = lines.withColumn("upto", F.coalesce(last, F.lit((1 << 63) - 1)))
     # `upto` is named twice: so it is worked out once a line and not once a word.
     listed = F.transform(opening, lambda h, i: F.when((h < F.col("upto")) | (h == F.col("upto")), F.hash(*(F.get("hashes", i + j) for j in range(shingle)))))
-    return bounded.select("id", "line", F.xxhash64("hashes").alias("key"), F.hash("hashes").alias("key2"), F.array_distinct(F.array_compact(listed)).alias("prefix"))
+    return bounded.select("id", "line", F.xxhash64("hashes").alias("key"), F.hash("hashes").alias("key2"), F.array_distinct(listed).alias("prefix"))
 
 
 def token_levels(lines: DataFrame, buckets: int = BUCKETS) -> list[int]:
@@ -95,8 +101,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
 
 
 def _similar(a: str, b: str, similarity: float) -> Column:
+    # shared >= similarity * (total - shared), with `shared` named once: so it is worked out once a pair.
     shared, total = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
-    return (F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * similarity - 1e-9) & (shared >= (total - shared) * similarity - 1e-9)
+    return (F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * similarity - 1e-9) & (shared * (1 + similarity) >= total * similarity - 1e-9)
 
 
 def _may_match(similarity: float) -> Column:
@@ -113,7 +120,7 @@ def _with_tokens(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _suspects(docs: DataFrame, index: DataFrame, shingle: int) -> DataFrame:
     """(key, first, tokens) of the different lines that share a listed token."""
-    listed = index.select("key", F.explode("prefix").alias("token"))
+    listed = index.select("key", F.explode("prefix").alias("token")).filter("token is not null")
     shared = small(checkpointed(listed.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("token")), LIST_ROWS)
     suspect = small(checkpointed(listed.join(shared, "token", "left_semi").select("key").distinct()), LIST_ROWS)
     places = index.select("key", "id", "line").join(suspect, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"))
@@ -121,10 +128,10 @@ def _suspects(docs: DataFrame, index: DataFrame, shingle: int) -> DataFrame:
     tokens = F.array_distinct(F.transform(_opening(shingle), lambda h, i: F.xxhash64(*(F.get("hashes", i + j) for j in range(shingle)))))
     lines = checkpointed(
         docs.join(small(by_doc, PLACE_ROWS), F.col("id").eqNullSafe(F.col("at")))
-        .select("id", "lines", F.split("text", "\n").alias("split"))
+        .select("id", "lines", _lines("text").alias("split"))
         # Each line goes with its own text and not with the whole document's; `split` is named twice, so it is made once.
-        .select("id", F.explode(F.transform("lines", lambda x: F.struct(x["key"].alias("key"), x["line"].alias("line"), F.when(x["line"] < F.size("split"), F.get("split", x["line"])).alias("raw")))).alias("x"))
-        .select("x.key", F.struct("id", F.col("x.line").alias("line")).alias("first"), _hashes(F.col("x.raw")).alias("hashes"))
+        .select("id", F.explode(F.transform("lines", lambda x: F.struct(x["key"].alias("key"), x["line"].alias("line"), F.when(x["line"] < F.size("split"), F.get("split", x["line"])).alias("words")))).alias("x"))
+        .select("x.key", F.struct("id", F.col("x.line").alias("line")).alias("first"), _hashes("x.words").alias("hashes"))
         .select("key", "first", tokens.alias("tokens"))
     )
     once = lines.select("key").distinct().count() == lines.count()  # rows may repeat an id
@@ -149,11 +156,11 @@ def _near(docs: DataFrame, index: DataFrame, shingle: int, similarity: float, cr
     fits = (F.col("x_first") < F.col("first")) & (F.col("x") != F.col("lead")) & _may_match(similarity)
     pairs = rest.filter(F.col("df") <= crowd).join(x, (F.col("token") == F.col("x_token")) & fits).select("key", "x").distinct()
     few = checkpointed(_verified(pairs, lines, similarity))
-    crowded = checkpointed(_with_tokens(rest.filter(F.col("df") > crowd).select("key", "first", "token"), lines))
+    crowded = checkpointed(_with_tokens(rest.filter(F.col("df") > crowd).select("key", "first", "token", "n", "at"), lines))
     wanted = small(checkpointed(crowded.select("token").distinct()))
-    others = _with_tokens(earlier.filter(F.col("df") > crowd).select("key", "first", "token").join(wanted, "token", "left_semi"), lines)
-    others = checkpointed(others.select(*(F.col(c).alias(f"x_{c}") for c in ("first", "token", "tokens"))))
-    many = crowded.join(others, (F.col("token") == F.col("x_token")) & (F.col("x_first") < F.col("first")) & _similar("tokens", "x_tokens", similarity), "left_semi").select("key")
+    others = _with_tokens(earlier.filter(F.col("df") > crowd).select("key", "first", "token", "n", "at").join(wanted, "token", "left_semi"), lines)
+    others = checkpointed(others.select(*(F.col(c).alias(f"x_{c}") for c in ("first", "token", "n", "at", "tokens"))))
+    many = crowded.join(others, (F.col("token") == F.col("x_token")) & (F.col("x_first") < F.col("first")) & _may_match(similarity) & _similar("tokens", "x_tokens", similarity), "left_semi").select("key")
     return copies.unionByName(few).unionByName(many).distinct()
 
 
@@ -189,7 +196,7 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers of the removed lines, comma-joined."""
     docs = documents(spark, sf_dir)
     gone = checkpointed(removed_lines(docs)).withColumnRenamed("id", "doc_id")
-    sizes = docs.select("doc_id", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     return sizes.join(small(gone), "doc_id", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"),
