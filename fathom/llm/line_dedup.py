@@ -60,6 +60,19 @@ def _opening(shingle: int) -> Column:
     return F.expr(f"slice(hashes, 1, greatest(size(hashes) - {shingle - 1}, 0))")
 
 
+def _with_shingles(lines: DataFrame, shingle: int) -> DataFrame:
+    """`lines` (hashes) with their tokens: the distinct hashes of all shingles.
+
+    A window of k words and that which starts j <= k words later make the window of k + j words, so few passes do.
+    """
+    lines, width = lines.withColumn("tokens", F.col("hashes")), 1
+    while width < shingle:
+        step = min(width, shingle - width)
+        later = F.expr(f"slice(tokens, {step + 1}, size(tokens))")
+        lines, width = lines.withColumn("tokens", F.zip_with("tokens", later, lambda a, b: F.xxhash64(a, b))), width + step
+    return lines.withColumn("tokens", F.array_distinct(F.expr(f"slice(tokens, 1, greatest(size(hashes) - {shingle - 1}, 0))")))
+
+
 def _indexed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(id, line, key, key2, prefix) of every line; prefix is empty for lines of fewer than `shingle` words and may hold a null.
 
@@ -125,15 +138,14 @@ def _suspects(docs: DataFrame, index: DataFrame, shingle: int) -> DataFrame:
     suspect = small(checkpointed(listed.join(shared, "token", "left_semi").select("key").distinct()), LIST_ROWS)
     places = index.select("key", "id", "line").join(suspect, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"))
     by_doc = checkpointed(places.groupBy(F.col("first.id").alias("at")).agg(F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("lines")))
-    tokens = F.array_distinct(F.transform(_opening(shingle), lambda h, i: F.xxhash64(*(F.get("hashes", i + j) for j in range(shingle)))))
-    lines = checkpointed(
+    hashed = (
         docs.join(small(by_doc, PLACE_ROWS), F.col("id").eqNullSafe(F.col("at")))
         .select("id", "lines", _lines("text").alias("split"))
         # Each line goes with its own text and not with the whole document's; `split` is named twice, so it is made once.
         .select("id", F.explode(F.transform("lines", lambda x: F.struct(x["key"].alias("key"), x["line"].alias("line"), F.when(x["line"] < F.size("split"), F.get("split", x["line"])).alias("words")))).alias("x"))
         .select("x.key", F.struct("id", F.col("x.line").alias("line")).alias("first"), _hashes("x.words").alias("hashes"))
-        .select("key", "first", tokens.alias("tokens"))
     )
+    lines = checkpointed(_with_shingles(hashed, shingle).select("key", "first", "tokens"))
     once = lines.select("key").distinct().count() == lines.count()  # rows may repeat an id
     return lines if once else checkpointed(lines.dropDuplicates(["key"]))
 
