@@ -237,7 +237,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat an id count as one document and leave one row, whichever Spark meets first.
     """
-    found = checkpointed(near_duplicates(docs, id_col, text_col, shingle, bits))
+    return least_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, bits), id_col)
+
+
+def least_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `docs` whose id is its own component in `found` (id, component), one for each id."""
+    found = checkpointed(found)
     kept = docs.join(
         found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__kept")).distinct(),
         F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi",
