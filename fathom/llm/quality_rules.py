@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import checkpointed, documents, small
 
 BUCKETS = 1 << 16
 #: Mean log ratio that a kept document reaches.
 THRESHOLD = -0.12
-#: Trusted documents that are used, those of the smallest id hash; their ids are broadcast.
-TRUSTED_MOST = 100_000
 #: Pseudo-counts of each bucket.
 SMOOTHING = 0.5
 SPACE = r"[ \t-\r]+"
@@ -44,7 +42,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
 
     The result has `buckets` numbers whatever the corpus; without trusted documents all are 0.
     """
-    marked = docs.join(F.broadcast(trusted.select(F.col("id").alias("__t")).distinct()), F.col("id") == F.col("__t"), "left")
+    marked = docs.join(small(checkpointed(trusted.select(F.col("id").alias("__t")).distinct())), F.col("id") == F.col("__t"), "left")
     counts = (
         _hashed(marked).select(F.explode(_buckets(buckets)).alias("b"), F.col("__t").isNotNull().cast("long").alias("t"))
         .groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).toArrow()
@@ -89,10 +87,9 @@ def quality(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD,
     )
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_MOST) -> DataFrame:
-    """(id): the documents labelled good, at most `most`, by the hash of their id."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("id")).distinct()
-    return good.orderBy(F.xxhash64("id"), "id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(id): all documents labelled good."""
+    return labels.filter("quality = 1").select(F.col("doc_id").alias("id")).distinct()
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -70,6 +70,11 @@ def test_quality_rules_of_odd_rows(spark):
     assert quality_rules.bucket_weights(ids, ids.limit(0), 8) == [0.0] * 8
 
 
+def test_all_good_labels_are_trusted(spark):
+    labels = spark.range(100_500).selectExpr("id AS doc_id", "IF(id < 100200, 1, 0) AS quality")
+    assert quality_rules.trusted_ids(labels).count() == 100_200
+
+
 def test_language_on_held_out_documents(spark):
     found = language.op5_language(spark, FOLDER).join(documents(spark, FOLDER).select("doc_id", "lang", "text"), "doc_id")
     told = found.filter("held_out and lang is not null and text is not null and length(text) > 20")
