@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +17,31 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared checkpoint folder, its lineage cut.
-
-    The cluster's ``spark.checkpoint.dir`` is used; a folder of our own is made only where that is unset.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """The folder for intermediate tables, shared by all executors: the one set for checkpoints, which is
+    ``spark.checkpoint.dir``. Only a local master gets a temporary folder of its own; a cluster without a setting is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fathom-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the shared checkpoint folder, its lineage cut."""
+    scratch(df.sparkSession)
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept as a Parquet table in the shared checkpoint folder: smaller than a checkpoint, and columns can be left out in reading."""
+    path = f"{scratch(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` (already checkpointed, so counting is cheap) marked for broadcast if it has at most `rows` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,22 +1,23 @@
-"""Near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
-
-A line's tokens are its distinct shingles of `shingle` lower-cased words. Two lines match if the Jaccard similarity of
-their tokens is at least `similarity`; a line goes if an earlier line, by (document id, line number), matches it.
-
-Lines that match share a token of their prefixes, the first ``n - ceil(similarity * n) + 1`` of n tokens in any one order
-of all tokens.
-
-1. Equal lines are found by a hash of their words. Every line lists a superset of its prefix in the order of the tokens'
-   first words' hashes, as 32-bit hashes and without hashing its other tokens; a line that shares none of them with a
-   different line matches none and is done.
-2. The rest, the suspects, get all their tokens, ordered by rarity: by the number of times that they occur on suspect
-   lines (counted in a table of hash buckets of fixed size), then by hash. Each line is verified first against the
-   earliest line under each token of its prefix, where the length and positional filters let it match; that finds
-   copies of an original whatever their number. Only lines without such a match are joined with all earlier lines
-   under their tokens: as pairs that pass the same filters, or, under tokens that more than `crowd` lines hold, by a
-   semi-join that stops at the first match.
-
-Lines of fewer than `shingle` words are left alone.
+"""Line dedup by an exact set-similarity join, in DataFrame functions only.
+
+A line's tokens are its distinct shingles of `shingle` lower-cased words; a line of fewer words has one token, all its
+words. Two lines match if the Jaccard similarity of their tokens is at least `similarity`; a line goes if an earlier
+line, by (document id, line number), matches it. Lines without a word are left alone.
+
+Tokens are ordered by rarity: by how often the tokens of their hash bucket occur in the whole corpus (a table of fixed
+size), then by hash. Lines that match share a token of their prefixes, the first ``n - ceil(similarity * n) + 1`` of n
+tokens in that order.
+
+1. Every line lists the tokens of its prefix. Tokens that only equal lines list are done with, and so are lines that list
+   no other: most. What is left are the suspects.
+2. Equal lines are folded into the earliest of them. The texts of lines that may be suspects, by a bitmap of fixed size
+   over the hashes of suspects, go along.
+3. Each suspect is verified against the earliest line under each of its shared tokens, where the length and positional
+   filters let them match; that finds copies of an original whatever their number. Only suspects without such a match
+   are held against all earlier lines under their tokens: as pairs that pass the same filters, or, under tokens that more
+   than `crowd` lines list, by a semi-join that stops at the first match.
+
+Lines are told apart by 128 bits of hash, tokens by 56 bits beside their rarity.
 """
 
 from __future__ import annotations
@@ -24,93 +25,99 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, small
+from .common import checkpointed, documents, kept
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Lines under one token that are still paired; above it the semi-join takes over.
 CROWD = 64
-#: Buckets of the table of token counts.
+#: Buckets of the table of token counts; a power of two.
 BUCKETS = 1 << 16
-#: What may be broadcast once counted, each some 100 MB at most: rows of hashes, of pairs of them, of documents with line
-#: numbers; tokens of all lines together. Beyond them Spark shuffles.
-LIST_ROWS, PAIR_ROWS, PLACE_ROWS, TOKENS = 1 << 22, 1 << 20, 1 << 19, 1 << 22
+#: Buckets with more than this share of all tokens are dealt out to so many tasks each.
+HOT_SHARE, SALTS = 1 / 4096, 64
+#: Bits of the bitmap of suspects: it is broadcast, as 8 MB at most.
+BITMAP = 1 << 26
 #: White space besides the blank and the line's end.
 OTHER_SPACE = "\t\v\f\r"
 
 
-def _lines(text: Column | str) -> Column:
-    """The lines of a text, lower-cased, with the blank as their only white space: done once a text and not once a line."""
-    text = F.lower(text)
+def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, text): `row` tells the texts of one id apart; it is the text's hash if any id repeats, else 0."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    once = docs.groupBy("id").count().filter("count > 1").isEmpty()
+    return docs.select("id", (F.lit(0).cast("long") if once else F.xxhash64("text")).alias("row"), "text")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(id, row, line, body): the lines that hold a word, lower-cased, with the blank as their only white space."""
+    text = F.lower("text")
     for c in OTHER_SPACE:
         text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.split(text, "\n")
+    return docs.select("id", "row", F.posexplode(F.split(text, "\n")).alias("line", "body")).filter(F.ltrim("body") != "")
 
 
-def _hashes(line: Column | str) -> Column:
-    """The hashes of a line's words; splitting at one character is much faster than at a pattern."""
-    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+def _words(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("words", F.array_remove(F.split("body", " "), ""))
 
 
-def _prefix(n: Column, similarity: float) -> Column:
-    return (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
+def _window(at: Column, shingle: int) -> Column:
+    """The hash of the shingle of `words` that begins there; words past the end count as none."""
+    return F.xxhash64(*(F.get("words", at + j) for j in range(shingle)))
 
 
-def _opening(shingle: int) -> Column:
-    """The hashes of the words that begin a shingle."""
-    return F.expr(f"slice(hashes, 1, greatest(size(hashes) - {shingle - 1}, 0))")
+def _tokens(shingle: int, words: str = "words") -> Column:
+    """The distinct tokens of `words`, in one pass."""
+    openings = F.expr(f"slice({words}, 1, greatest(size({words}) - {shingle - 1}, 1))")
+    return F.array_distinct(F.transform(openings, lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, shingle)))))
 
 
-def _with_shingles(lines: DataFrame, shingle: int) -> DataFrame:
-    """`lines` (hashes) with their tokens: the distinct hashes of all shingles.
-
-    A window of k words and that which starts j <= k words later make the window of k + j words, so few passes do.
-    """
-    lines, width = lines.withColumn("tokens", F.col("hashes")), 1
-    while width < shingle:
-        step = min(width, shingle - width)
-        later = F.expr(f"slice(tokens, {step + 1}, size(tokens))")
-        lines, width = lines.withColumn("tokens", F.zip_with("tokens", later, lambda a, b: F.xxhash64(a, b))), width + step
-    return lines.withColumn("tokens", F.array_distinct(F.expr(f"slice(tokens, 1, greatest(size(hashes) - {shingle - 1}, 0))")))
+def token_levels(lines: DataFrame, shingle: int = SHINGLE, buckets: int = BUCKETS) -> tuple[list[int], int]:
+    """How frequent the tokens of each hash bucket are on all lines: the number of binary digits of their count; and
+    the level from which a bucket is hot."""
+    last = F.expr(f"greatest(size(words) - {shingle}, 0)")
+    at = _words(lines).select("words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    counts = at.groupBy(_window(F.col("at"), shingle).bitwiseAND(buckets - 1).alias("b")).agg(F.count("*").alias("n")).toArrow()
+    levels, total = [0] * buckets, 0
+    for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
+        levels[b], total = n.bit_length(), total + n
+    return levels, int(total * HOT_SHARE).bit_length() + 1
 
 
-def _indexed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, line, key, key2, prefix) of every line; prefix is empty for lines of fewer than `shingle` words and may hold a null.
+def _by_rarity(tokens: Column, levels: list[int]) -> Column:
+    """Tokens as numbers in the order of their rarity: the level, then 56 bits of the hash."""
+    table = F.split(F.lit(",".join(str(x << 56) for x in levels)), ",").cast("array<bigint>")
+    return F.sort_array(F.transform(tokens, lambda t: F.get(table, t.bitwiseAND(len(levels) - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(t, 8))))
 
-    The first p distinct tokens begin with no more than the p smallest first words, so the tokens of those are taken.
-    """
-    lines = docs.select("id", F.posexplode(_lines("text")).alias("line", "words")).select("id", "line", _hashes("words").alias("hashes"))
-    opening = _opening(shingle)
-    last = F.get(F.sort_array(F.array_distinct(opening)), _prefix(F.size(opening), similarity) - 1)
-    bounded = lines.withColumn("upto", F.coalesce(last, F.lit((1 << 63) - 1)))
-    # `upto` is named twice: so it is worked out once a line and not once a word.
-    listed = F.transform(opening, lambda h, i: F.when((h < F.col("upto")) | (h == F.col("upto")), F.hash(*(F.get("hashes", i + j) for j in range(shingle)))))
-    return bounded.select("id", "line", F.xxhash64("hashes").alias("key"), F.hash("hashes").alias("key2"), F.array_distinct(listed).alias("prefix"))
-
-
-def token_levels(lines: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """How frequent the tokens of each hash bucket are on all lines (tokens): the logarithm of their count."""
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(buckets)).alias("b")).agg(F.count("*").alias("n")).toArrow()
-    levels = [0] * buckets
-    for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
-        levels[b] = n.bit_length()
-    return levels
 
+def _prefix(n: Column, similarity: float) -> Column:
+    return (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
 
-def _by_rarity(levels: list[int]) -> Column:
-    """Tokens as numbers in the order of their rarity: the level, then 56 bits of the hash."""
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    return F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(table, F.pmod(t, F.lit(len(levels))).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
 
+def _suspects(lines: DataFrame, shingle: int, similarity: float, levels: list[int], hot: int) -> DataFrame:
+    """(k, shared): of lines, by a hash, the prefix tokens that different lines list.
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """(key): the keys of the distinct (key, x) pairs that are similar."""
-    pairs = checkpointed(pairs)
-    others = lines.join(small(checkpointed(pairs.select(F.col("x").alias("key")).distinct()), LIST_ROWS), "key", "left_semi")
-    others = checkpointed(others.select(F.col("key").alias("x"), F.col("tokens").alias("x_tokens")))
-    if (others.agg(F.sum(F.size("x_tokens") + 8)).first()[0] or 0) <= TOKENS:  # lines may be long, so rows say little
-        others = F.broadcast(others)
-    both = lines.select("key", "tokens").join(small(pairs, PAIR_ROWS), "key").join(others, "x")
-    return both.filter(_similar("tokens", "x_tokens", similarity)).select("key").distinct()
+    The listed tokens are shuffled once. A token of a hot bucket is dealt out by line, and its parts are put together after.
+    """
+    ranked = _words(lines).select(F.xxhash64("body").alias("k"), F.pmod(F.xxhash64("id", "row", "line"), F.lit(SALTS)).cast("int").alias("salt"), _by_rarity(_tokens(shingle), levels).alias("ranked"))
+    listed = ranked.select("k", "salt", F.explode(F.slice("ranked", F.lit(1), _prefix(F.size("ranked"), similarity))).alias("token"))
+    is_hot = F.col("token") >= hot << 56
+    dealt = listed.withColumn("salt", F.when(is_hot, F.col("salt")).otherwise(0)).repartition("token", "salt")
+    parts = dealt.groupBy("token", "salt").agg(F.min("k").alias("a"), F.max("k").alias("b"))
+    cold = parts.filter(~is_hot & (F.col("a") != F.col("b"))).select("token", "salt")
+    crowds = parts.filter(is_hot).groupBy("token").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b")
+    shared = cold.unionByName(crowds.select("token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    return dealt.join(shared.hint("shuffle_hash"), ["token", "salt"], "left_semi").groupBy("k").agg(F.collect_set("token").alias("shared"))
+
+
+def _index(lines: DataFrame, suspects: DataFrame) -> DataFrame:
+    """(k, k2, id, row, line, body) of every line, with the body of those that may be suspects."""
+    place = F.pmod("k", F.lit(BITMAP))
+    bits = suspects.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    bitmap = kept(bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
+    keyed = lines.select(F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), "id", "row", "line", "body").withColumn("place", place)
+    joined = keyed.join(F.broadcast(bitmap), F.bitmap_bucket_number("place") == F.col("bucket"), "left").withColumn("bit", F.bitmap_bit_position("place"))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.col("bitmap").isNotNull() & (F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1)
+    return joined.select("k", "k2", "id", "row", "line", F.when(hit, F.col("body")).alias("body"))
 
 
 def _similar(a: str, b: str, similarity: float) -> Column:
@@ -125,68 +132,73 @@ def _may_match(similarity: float) -> Column:
     return (F.least("x_n", "n") >= F.greatest("x_n", "n") * similarity - 1e-9) & (most >= (F.col("x_n") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _with_tokens(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """`rows` with their keys' tokens; only the lines that they name are shuffled."""
-    named = small(checkpointed(rows.select("key").distinct()), LIST_ROWS)
-    return rows.join(lines.select("key", "tokens").join(named, "key", "left_semi"), "key")
-
-
-def _suspects(docs: DataFrame, index: DataFrame, shingle: int) -> DataFrame:
-    """(key, first, tokens) of the different lines that share a listed token."""
-    listed = index.select("key", F.explode("prefix").alias("token")).filter("token is not null")
-    shared = small(checkpointed(listed.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("token")), LIST_ROWS)
-    suspect = small(checkpointed(listed.join(shared, "token", "left_semi").select("key").distinct()), LIST_ROWS)
-    places = index.select("key", "id", "line").join(suspect, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"))
-    by_doc = checkpointed(places.groupBy(F.col("first.id").alias("at")).agg(F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("lines")))
-    hashed = (
-        docs.join(small(by_doc, PLACE_ROWS), F.col("id").eqNullSafe(F.col("at")))
-        .select("id", "lines", _lines("text").alias("split"))
-        # Each line goes with its own text and not with the whole document's; `split` is named twice, so it is made once.
-        .select("id", F.explode(F.transform("lines", lambda x: F.struct(x["key"].alias("key"), x["line"].alias("line"), F.when(x["line"] < F.size("split"), F.get("split", x["line"])).alias("words")))).alias("x"))
-        .select("x.key", F.struct("id", F.col("x.line").alias("line")).alias("first"), _hashes("x.words").alias("hashes"))
-    )
-    lines = checkpointed(_with_shingles(hashed, shingle).select("key", "first", "tokens"))
-    once = lines.select("key").distinct().count() == lines.count()  # rows may repeat an id
-    return lines if once else checkpointed(lines.dropDuplicates(["key"]))
-
-
-def _near(docs: DataFrame, index: DataFrame, shingle: int, similarity: float, crowd: int) -> DataFrame:
-    """(key): the lines, by the hash of their words, that some earlier different line matches."""
-    lines = _suspects(docs, index, shingle)
-    n = F.size("tokens")
-    listed = lines.select("key", "first", n.alias("n"), F.posexplode(F.slice(_by_rarity(token_levels(lines)), F.lit(1), _prefix(n, similarity))).alias("at", "token"))
-    buckets = listed.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("first", "key", "n", "at")).alias("lead")).filter("df > 1")
-    buckets = small(checkpointed(buckets.select("token", "df", F.col("lead.key").alias("lead"), F.col("lead.n").alias("x_n"), F.col("lead.at").alias("x_at"))), LIST_ROWS // 4)
-    listed = checkpointed(listed.select("key", "n", "at", "token").join(buckets, "token").withColumn("lead_fits", _may_match(similarity)).drop("x_n", "x_at"))
-    later = listed.filter("lead <> key")
-    copies = checkpointed(_verified(later.filter("lead_fits").select("key", F.col("lead").alias("x")).distinct(), lines, similarity))
-    firsts = lines.select("key", "first")
-    rest = checkpointed(later.join(small(copies, LIST_ROWS), "key", "left_anti").join(firsts, "key"))
-    wanted = small(checkpointed(rest.select("token").distinct()), LIST_ROWS)
-    earlier = checkpointed(listed.join(wanted, "token", "left_semi").join(firsts, "key"))
-    x = earlier.filter(F.col("df") <= crowd).select(*(F.col(c).alias(f"x_{c}") for c in ("token", "first", "n", "at")), F.col("key").alias("x"))
-    fits = (F.col("x_first") < F.col("first")) & (F.col("x") != F.col("lead")) & _may_match(similarity)
-    pairs = rest.filter(F.col("df") <= crowd).join(x, (F.col("token") == F.col("x_token")) & fits).select("key", "x").distinct()
-    few = checkpointed(_verified(pairs, lines, similarity))
-    crowded = checkpointed(_with_tokens(rest.filter(F.col("df") > crowd).select("key", "first", "token", "n", "at"), lines))
-    wanted = small(checkpointed(crowded.select("token").distinct()))
-    others = _with_tokens(earlier.filter(F.col("df") > crowd).select("key", "first", "token", "n", "at").join(wanted, "token", "left_semi"), lines)
-    others = checkpointed(others.select(*(F.col(c).alias(f"x_{c}") for c in ("first", "token", "n", "at", "tokens"))))
-    many = crowded.join(others, (F.col("token") == F.col("x_token")) & (F.col("x_first") < F.col("first")) & _may_match(similarity) & _similar("tokens", "x_tokens", similarity), "left_semi").select("key")
-    return copies.unionByName(few).unionByName(many).distinct()
+def _with_tokens(rows: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
+    """`rows` (k, k2) with the tokens of their lines."""
+    return _words(rows.join(lines.select("k", "k2", "body"), ["k", "k2"])).withColumn("tokens", _tokens(shingle)).drop("body", "words")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(k, k2): those of the distinct (k, k2, x, x2) pairs that are similar. Bodies are moved, as they are smaller than tokens."""
+    x = lines.select(F.col("k").alias("x"), F.col("k2").alias("x2"), F.col("body").alias("x_body"))
+    both = pairs.join(lines.select("k", "k2", "body"), ["k", "k2"]).join(x, ["x", "x2"])
+    both = _words(both).withColumn("x_words", F.array_remove(F.split("x_body", " "), ""))
+    tokens = both.select("k", "k2", _tokens(shingle).alias("tokens"), _tokens(shingle, "x_words").alias("x_tokens"))
+    return tokens.filter(_similar("tokens", "x_tokens", similarity)).select("k", "k2").distinct()
+
+
+def _near(lines: DataFrame, levels: list[int], shingle: int, similarity: float, crowd: int) -> DataFrame:
+    """(k, k2): those of `lines` (k, k2, first, body, shared) that some earlier one matches."""
+    ranked = _words(lines).select("k", "k2", "first", "shared", _by_rarity(_tokens(shingle), levels).alias("ranked"))
+    listed = ranked.select("k", "k2", "first", F.size("ranked").alias("n"), "ranked", F.explode("shared").alias("token"))
+    # A line whose hash equals a suspect's may not hold its tokens.
+    listed = kept(listed.select("k", "k2", "first", "n", (F.array_position("ranked", F.col("token")) - 1).cast("int").alias("at"), "token").filter("at >= 0"))
+    leads = kept(listed.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("first", "k", "k2", "n", "at")).alias("lead")).filter("df > 1"))
+    leads = leads.select("token", "df", F.col("lead.k").alias("x"), F.col("lead.k2").alias("x2"), F.col("lead.n").alias("x_n"), F.col("lead.at").alias("x_at"))
+    followers = listed.join(leads, "token").filter("k <> x or k2 <> x2")
+    pairs = kept(followers.filter(_may_match(similarity)).select("k", "k2", "x", "x2").distinct())
+    copies = kept(_verified(pairs, lines, shingle, similarity))
+    # The others, under tokens that hold more than them and the line just tried.
+    rest = kept(followers.filter("df > 2").select("token", "df", "k", "k2", "first", "n", "at", "x", "x2").join(copies, ["k", "k2"], "left_anti"))
+    earlier = listed.join(rest.select("token").distinct(), "token", "left_semi")
+    earlier = kept(earlier.select("token", *(F.col(c).alias(f"x_{c}") for c in ("k", "k2", "first", "n", "at"))))
+    fits = (F.col("x_first") < F.col("first")) & ((F.col("x_k") != F.col("x")) | (F.col("x_k2") != F.col("x2"))) & _may_match(similarity)
+    pairs = rest.filter(F.col("df") <= crowd).join(earlier, "token").filter(fits)
+    few = kept(_verified(kept(pairs.select("k", "k2", F.col("x_k").alias("x"), F.col("x_k2").alias("x2")).distinct()), lines, shingle, similarity))
+    crowded = rest.filter(F.col("df") > crowd)
+    if crowded.isEmpty():
+        return copies.unionByName(few)
+    crowded = kept(_with_tokens(crowded.join(few, ["k", "k2"], "left_anti"), lines, shingle))
+    others = earlier.join(crowded.select("token").distinct(), "token", "left_semi").withColumnRenamed("x_k", "k").withColumnRenamed("x_k2", "k2")
+    others = kept(_with_tokens(others, lines, shingle).withColumnsRenamed({"k": "x_k", "k2": "x_k2", "tokens": "x_tokens", "token": "x_token"}))
+    many = crowded.join(others, (F.col("token") == F.col("x_token")) & fits & _similar("tokens", "x_tokens", similarity), "left_semi").select("k", "k2").distinct()
+    return copies.unionByName(few).unionByName(kept(many))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """(id, removed): for every document that loses lines, their numbers from 0, ascending.
+    """(id, row, removed): for every document that loses lines, their numbers from 0, ascending.
 
-    Null and empty texts have no lines that count; rows that repeat an id are one document; a null id comes first.
+    Null and empty texts and lines without a word lose nothing. Rows that repeat an id keep their own lines, and come in
+    the order of their texts' hashes, `row`, which is 0 where no id repeats; rows that repeat both are one document. A
+    null id comes first. An empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    index = checkpointed(_indexed(docs, shingle, similarity)).filter("size(prefix) > 0")
-    firsts = checkpointed(index.groupBy("key", "key2").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "key2", "first"))
-    again = index.select("id", "line", "key", "key2").join(small(firsts, LIST_ROWS), ["key", "key2"]).filter(~F.struct("id", "line").eqNullSafe(F.col("first"))).select("id", "line")
-    near = index.select("id", "line", "key").join(small(checkpointed(_near(docs, index, shingle, similarity, crowd)), LIST_ROWS), "key", "left_semi").select("id", "line")
-    return again.unionByName(near).groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    lines = _lines(_chosen(docs, id_col, text_col))
+    levels, hot = token_levels(lines, shingle)
+    suspects = kept(_suspects(lines, shingle, similarity, levels, hot))
+    index = kept(_index(lines, suspects))
+    at = F.struct("id", "row", "line")
+    folded = kept(index.groupBy("k", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.any_value("body").alias("body")).filter("n > 1 or body is not null"))
+    near = _near(kept(folded.select("k", "k2", "first", "body").join(suspects, "k")), levels, shingle, similarity, crowd)
+    doomed = folded.filter("n > 1").select("k", "k2", "first", F.lit(False).alias("gone")).unionByName(near.join(folded, ["k", "k2"]).select("k", "k2", "first", F.lit(True).alias("gone")))
+    doomed = kept(doomed.groupBy("k", "k2").agg(F.any_value("first").alias("first"), F.max("gone").alias("gone")))
+    gone = index.select("k", "k2", "id", "row", "line").join(doomed, ["k", "k2"]).filter(F.col("gone") | ~at.eqNullSafe(F.col("first")))
+    return gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
+    """`docs` with the numbers of the lines that go, `__removed`, null where none goes."""
+    gone = kept(removed_lines(docs, id_col, text_col, **how)).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("removed").alias("__removed"))
+    own = F.col(id_col).eqNullSafe(F.col("__id")) & ((F.col("__row") == 0) | (F.col("__row") == F.xxhash64(text_col)))
+    return docs.join(gone, own, "left").drop("__id", "__row")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -194,10 +206,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     All columns stay; `n_chars`, where there is one, is counted anew. Documents that lose no line are as they were.
     """
-    gone = checkpointed(removed_lines(docs, id_col, text_col, **how)).select(F.col("id").alias("__id"), F.col("removed").alias("__removed"))
-    joined = docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    out = joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept))
+    joined = _marked(docs, id_col, text_col, **how)
+    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
+    out = joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(left))
     out = out.filter(F.col("__removed").isNull() | F.col(text_col).rlike(r"[^ \t-\r]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
@@ -206,12 +217,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers of the removed lines, comma-joined."""
-    docs = documents(spark, sf_dir)
-    gone = checkpointed(removed_lines(docs)).withColumnRenamed("id", "doc_id")
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"))
-    return sizes.join(small(gone), "doc_id", "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"),
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    return _marked(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text").select(
+        "doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join("__removed", ","), F.lit("")).alias("removed"),
     )
 
 
@@ -219,9 +228,9 @@ ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, n - 1 AS line, list_filter(string_split_regex(lower(raw), '[ \t-\r]+'), lambda x: x <> '') AS w
   FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
-uniq AS (SELECT array_to_string(w, ' ') AS body, min((doc_id, line)) AS first, any_value(w) AS w FROM lines WHERE len(w) >= 5 GROUP BY 1),
+uniq AS (SELECT array_to_string(w, ' ') AS body, min((doc_id, line)) AS first, any_value(w) AS w FROM lines WHERE len(w) >= 1 GROUP BY 1),
 tokens AS (
-  SELECT DISTINCT body, array_to_string(w[o : o + 4], ' ') AS token FROM (SELECT body, w, unnest(range(1, len(w) - 3)) AS o FROM uniq)),
+  SELECT DISTINCT body, array_to_string(w[o : o + 4], ' ') AS token FROM (SELECT body, w, unnest(range(1, greatest(len(w) - 3, 2))) AS o FROM uniq)),
 sizes AS (SELECT body, count(*) AS n FROM tokens GROUP BY 1),
 shared AS (SELECT a.body AS x, b.body AS y, count(*) AS c FROM tokens a JOIN tokens b ON a.token = b.token AND a.body <> b.body GROUP BY 1, 2),
 near AS (
@@ -229,7 +238,7 @@ near AS (
   JOIN uniq u ON u.body = s.x JOIN uniq v ON v.body = s.y WHERE 5 * s.c >= 4 * (p.n + q.n - s.c) AND u.first < v.first),
 gone AS (
   SELECT l.doc_id, l.line FROM lines l JOIN uniq u ON u.body = array_to_string(l.w, ' ')
-  WHERE len(l.w) >= 5 AND ((l.doc_id, l.line) <> u.first OR u.body IN (SELECT body FROM near))),
+  WHERE (l.doc_id, l.line) <> u.first OR u.body IN (SELECT body FROM near)),
 by_doc AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM gone GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, coalesce(b.n, 0) AS n_removed, coalesce(b.removed, '') AS removed
 FROM documents d LEFT JOIN by_doc b USING (doc_id)

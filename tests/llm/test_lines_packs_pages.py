@@ -19,16 +19,16 @@ NAMES = "doc_id long, text string, id string, key long"
 
 
 def removed(rows: list[tuple], shingle: int, similarity: float) -> dict:
-    """The lines that go, with all pairs of lines compared."""
+    """The lines that go, with all pairs of lines compared; fewer words than `shingle` make one token."""
     lines = {}
     for i, text in sorted(set(rows), key=lambda r: (r[0], r[1] or "")):
         for k, line in enumerate((text or "").split("\n")):
-            if len(w := line.lower().split()) >= shingle:
+            if w := line.lower().split():
                 lines[i, k] = tuple(w)
     first = {}
     for at, w in sorted(lines.items()):
         first.setdefault(w, at)
-    tokens = {w: {w[o : o + shingle] for o in range(len(w) - shingle + 1)} for w in first}
+    tokens = {w: {w[o : o + shingle] for o in range(max(1, len(w) - shingle + 1))} for w in first}
     near = {b for b in first for a in first if first[a] < first[b] and len(tokens[a] & tokens[b]) >= similarity * len(tokens[a] | tokens[b]) - 1e-9}
     out = defaultdict(list)
     for at, w in sorted(lines.items()):
@@ -41,7 +41,7 @@ def removed(rows: list[tuple], shingle: int, similarity: float) -> dict:
 def test_lines_against_all_pairs(spark, seed, crowd):
     rng = random.Random(seed)
     words = [f"w{k}" for k in range(40)]
-    known = [[rng.choice(words) for _ in range(rng.randint(3, 24))] for _ in range(12)]
+    known = [[rng.choice(words) for _ in range(rng.randint(1, 24))] for _ in range(12)]
 
     def line() -> str:
         w = list(rng.choice(known))
@@ -63,6 +63,20 @@ def test_lines_of_odd_rows(spark):
     assert {r.doc_id: r.text for r in line_dedup.deduplicated(more).filter("doc_id >= 9").collect()} == {9: "short"}
 
 
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    rows = [(1, "a b c d e f g h"), (7, "a b c d e f g h"), (7, "q r s t u v w x"), (None, "null one two three four five"), (None, "null six seven eight nine ten"), (8, "null one two three four five"), (8, "kept\nq r s t u v w x\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text) for r in line_dedup.deduplicated(docs).collect()))
+    assert got == sorted([(1, "a b c d e f g h"), (7, "q r s t u v w x"), (0, "null one two three four five"), (0, "null six seven eight nine ten"), (8, "kept\n")])
+
+
+def test_short_lines_and_the_query_on_odd_rows(spark, tmp_path):
+    rows = [(3, "click  here now\nbody one\nClick here now"), (5, "click here now"), (None, "click here\tnow\nx"), (None, ""), (6, None), (6, "body two\n\n")]
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, row string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_removed, r.removed) for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect())
+    assert got == [(0, 1, 0, ""), (0, 2, 0, ""), (3, 3, 2, "0,2"), (5, 1, 1, "0"), (6, 0, 0, ""), (6, 3, 0, "")]
+
+
 def test_packing_is_whole_and_best_fit(spark):
     rng = random.Random(2)
     sizes = [rng.randint(1, 32) for _ in range(300)]
