@@ -4,20 +4,24 @@ A line's tokens are its distinct shingles of `shingle` lower-cased words; a line
 words. Two lines match if the Jaccard similarity of their tokens is at least `similarity`; a line goes if an earlier
 line, by (document id, line number), matches it. Lines without a word are left alone.
 
-Tokens are ordered by rarity: by how often the tokens of their hash bucket occur in the whole corpus (a table of fixed
-size), then by hash. Lines that match share a token of their prefixes, the first ``n - ceil(similarity * n) + 1`` of n
-tokens in that order.
-
-1. Every line lists the tokens of its prefix. Tokens that only equal lines list are done with, and so are lines that list
-   no other: most. What is left are the suspects.
-2. Equal lines are folded into the earliest of them. The texts of lines that may be suspects, by a bitmap of fixed size
-   over the hashes of suspects, go along.
-3. Each suspect is verified against the earliest line under each of its shared tokens, where the length and positional
-   filters let them match; that finds copies of an original whatever their number. Only suspects without such a match
-   are held against all earlier lines under their tokens: as pairs that pass the same filters, or, under tokens that more
-   than `crowd` lines list, by a semi-join that stops at the first match.
-
-Lines are told apart by 128 bits of hash, tokens by 56 bits beside their rarity.
+Lines that match share a token of their prefixes, the first ``n - ceil(similarity * n) + 1`` of n tokens in any one order
+of all tokens.
+
+1. Every line lists a superset of its prefix in the order of the tokens' first words' hashes, without hashing its other
+   tokens. Tokens that only equal lines list are done with, and so are the lines, most of all, that list no other. What is
+   left are the suspects; equal lines are folded into the earliest of them.
+2. The suspects get all their tokens, in the order of their rarity: by how often the tokens of their hash bucket occur on
+   suspects (a table of fixed size), then by hash. Each is verified against the earliest line under each token of
+   its prefix, where the length and positional filters let them match; that finds copies of an original whatever
+   their number. Only suspects without such a match are held against all earlier lines under their tokens: as pairs
+   that pass the same filters, or, under tokens that more than `crowd` lines list, by a semi-join that stops at the
+   first match.
+
+Only suspects' texts and rows of shared tokens are shuffled, as far as bitmaps of fixed size over their hashes tell them from others;
+what a bitmap lets through is joined exactly after it. Lines are told apart by 128 bits of hash.
+
+The optimiser copies the definition of what an inner `explode` unfolds, or a filter asks of a computed column, into filters
+below, where token lists would be made anew for each word. So `explode_outer` is used, and verdicts are aggregated.
 """
 
 from __future__ import annotations
@@ -31,10 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Lines under one token that are still paired; above it the semi-join takes over.
 CROWD = 64
 #: Buckets of the table of token counts; a power of two.
-BUCKETS = 1 << 16
-#: Buckets with more than this share of all tokens are dealt out to so many tasks each.
-HOT_SHARE, SALTS = 1 / 4096, 64
-#: Bits of the bitmap of suspects: it is broadcast, as 8 MB at most.
+BUCKETS = 1 << 17
+#: Bits of a bitmap: it is broadcast, as 8 MB at most.
 BITMAP = 1 << 26
 #: White space besides the blank and the line's end.
 OTHER_SPACE = "\t\v\f\r"
@@ -52,7 +54,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     text = F.lower("text")
     for c in OTHER_SPACE:
         text = F.replace(text, F.lit(c), F.lit(" "))
-    return docs.select("id", "row", F.posexplode(F.split(text, "\n")).alias("line", "body")).filter(F.ltrim("body") != "")
+    return docs.select("id", "row", F.posexplode_outer(F.split(text, "\n")).alias("line", "body")).filter(F.ltrim("body") != "")
 
 
 def _words(lines: DataFrame) -> DataFrame:
@@ -70,54 +72,64 @@ def _tokens(shingle: int, words: str = "words") -> Column:
     return F.array_distinct(F.transform(openings, lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, shingle)))))
 
 
-def token_levels(lines: DataFrame, shingle: int = SHINGLE, buckets: int = BUCKETS) -> tuple[list[int], int]:
-    """How frequent the tokens of each hash bucket are on all lines: the number of binary digits of their count; and
-    the level from which a bucket is hot."""
+def token_levels(lines: DataFrame, shingle: int = SHINGLE, buckets: int = BUCKETS) -> list[int]:
+    """How frequent the tokens of each hash bucket are on all `lines` (body): the number of binary digits of their count."""
     last = F.expr(f"greatest(size(words) - {shingle}, 0)")
-    at = _words(lines).select("words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    at = _words(lines.select("body")).select("words", F.explode_outer(F.sequence(F.lit(0), last)).alias("at"))
     counts = at.groupBy(_window(F.col("at"), shingle).bitwiseAND(buckets - 1).alias("b")).agg(F.count("*").alias("n")).toArrow()
-    levels, total = [0] * buckets, 0
+    levels = [0] * buckets
     for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
-        levels[b], total = n.bit_length(), total + n
-    return levels, int(total * HOT_SHARE).bit_length() + 1
+        levels[b] = n.bit_length()
+    return levels
 
 
 def _by_rarity(tokens: Column, levels: list[int]) -> Column:
     """Tokens as numbers in the order of their rarity: the level, then 56 bits of the hash."""
-    table = F.split(F.lit(",".join(str(x << 56) for x in levels)), ",").cast("array<bigint>")
-    return F.sort_array(F.transform(tokens, lambda t: F.get(table, t.bitwiseAND(len(levels) - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(t, 8))))
+    table = F.lit(bytearray(levels))  # one byte a bucket; a list of numbers takes Spark long to plan with
+
+    def ranked(t: Column) -> Column:
+        level = F.ascii(F.substring(table, t.bitwiseAND(len(levels) - 1).cast("int") + 1, 1).cast("string"))
+        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
+
+    return F.sort_array(F.transform(tokens, ranked))
 
 
 def _prefix(n: Column, similarity: float) -> Column:
     return (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
 
 
-def _suspects(lines: DataFrame, shingle: int, similarity: float, levels: list[int], hot: int) -> DataFrame:
-    """(k, shared): of lines, by a hash, the prefix tokens that different lines list.
+def _index(lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, row, line, k, k2, prefix): two hashes of every line, and the hashes of its listed tokens; some may be null.
 
-    The listed tokens are shuffled once. A token of a hot bucket is dealt out by line, and its parts are put together after.
+    The first p distinct tokens begin with no more than the p smallest first words, so the tokens of those are listed.
     """
-    ranked = _words(lines).select(F.xxhash64("body").alias("k"), F.pmod(F.xxhash64("id", "row", "line"), F.lit(SALTS)).cast("int").alias("salt"), _by_rarity(_tokens(shingle), levels).alias("ranked"))
-    listed = ranked.select("k", "salt", F.explode(F.slice("ranked", F.lit(1), _prefix(F.size("ranked"), similarity))).alias("token"))
-    is_hot = F.col("token") >= hot << 56
-    dealt = listed.withColumn("salt", F.when(is_hot, F.col("salt")).otherwise(0)).repartition("token", "salt")
-    parts = dealt.groupBy("token", "salt").agg(F.min("k").alias("a"), F.max("k").alias("b"))
-    cold = parts.filter(~is_hot & (F.col("a") != F.col("b"))).select("token", "salt")
-    crowds = parts.filter(is_hot).groupBy("token").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b")
-    shared = cold.unionByName(crowds.select("token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    return dealt.join(shared.hint("shuffle_hash"), ["token", "salt"], "left_semi").groupBy("k").agg(F.collect_set("token").alias("shared"))
-
-
-def _index(lines: DataFrame, suspects: DataFrame) -> DataFrame:
-    """(k, k2, id, row, line, body) of every line, with the body of those that may be suspects."""
-    place = F.pmod("k", F.lit(BITMAP))
-    bits = suspects.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    bitmap = kept(bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
-    keyed = lines.select(F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), "id", "row", "line", "body").withColumn("place", place)
-    joined = keyed.join(F.broadcast(bitmap), F.bitmap_bucket_number("place") == F.col("bucket"), "left").withColumn("bit", F.bitmap_bit_position("place"))
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.col("bitmap").isNotNull() & (F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1)
-    return joined.select("k", "k2", "id", "row", "line", F.when(hit, F.col("body")).alias("body"))
+    hashed = lines.select("id", "row", "line", F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), F.transform(F.array_remove(F.split("body", " "), ""), lambda w: F.xxhash64(w)).alias("hashes"))
+    opening = F.expr(f"slice(hashes, 1, greatest(size(hashes) - {shingle - 1}, 1))")
+    last = F.get(F.sort_array(F.array_distinct(opening)), _prefix(F.size(opening), similarity) - 1)
+    bounded = hashed.withColumn("upto", F.coalesce(last, F.lit((1 << 63) - 1)))
+    # `upto` is named twice: so it is worked out once a line and not once a word.
+    listed = F.transform(opening, lambda h, i: F.when((h < F.col("upto")) | (h == F.col("upto")), F.xxhash64(*(F.get("hashes", i + j) for j in range(shingle)))))
+    return bounded.select("id", "row", "line", "k", "k2", F.array_distinct(listed).alias("prefix"))
+
+
+def _marked_by(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Those of `rows` whose `column` may be among that of `values`, by a bitmap of hashes; it is broadcast."""
+    place = F.pmod(column, F.lit(BITMAP))
+    bits = values.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("__bit"))
+    bitmap = kept(bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bitmap")))
+    joined = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(place) == F.col("__bucket")).withColumn("__bit", F.bitmap_bit_position(place))
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return joined.filter(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1).select(rows.columns)
+
+
+def _suspects(lines: DataFrame, index: DataFrame) -> DataFrame:
+    """(k, k2, first, body) of the different lines that share a listed token with a line of another hash."""
+    listed = index.select("k", F.explode_outer("prefix").alias("token")).filter("token is not null")
+    shared = kept(listed.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a <> b").select("token"))
+    suspect = kept(_marked_by(listed, "token", shared).join(shared, "token", "left_semi").select("k").distinct())
+    keyed = lines.select(F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), "id", "row", "line", "body")
+    folded = _marked_by(keyed, "k", suspect).groupBy("k", "k2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.any_value("body").alias("body"))
+    return kept(folded.join(suspect, "k", "left_semi"))
 
 
 def _similar(a: str, b: str, similarity: float) -> Column:
@@ -143,15 +155,14 @@ def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: floa
     both = pairs.join(lines.select("k", "k2", "body"), ["k", "k2"]).join(x, ["x", "x2"])
     both = _words(both).withColumn("x_words", F.array_remove(F.split("x_body", " "), ""))
     tokens = both.select("k", "k2", _tokens(shingle).alias("tokens"), _tokens(shingle, "x_words").alias("x_tokens"))
-    return tokens.filter(_similar("tokens", "x_tokens", similarity)).select("k", "k2").distinct()
+    return tokens.groupBy("k", "k2").agg(F.bool_or(_similar("tokens", "x_tokens", similarity)).alias("any")).filter("any").select("k", "k2")
 
 
-def _near(lines: DataFrame, levels: list[int], shingle: int, similarity: float, crowd: int) -> DataFrame:
-    """(k, k2): those of `lines` (k, k2, first, body, shared) that some earlier one matches."""
-    ranked = _words(lines).select("k", "k2", "first", "shared", _by_rarity(_tokens(shingle), levels).alias("ranked"))
-    listed = ranked.select("k", "k2", "first", F.size("ranked").alias("n"), "ranked", F.explode("shared").alias("token"))
-    # A line whose hash equals a suspect's may not hold its tokens.
-    listed = kept(listed.select("k", "k2", "first", "n", (F.array_position("ranked", F.col("token")) - 1).cast("int").alias("at"), "token").filter("at >= 0"))
+def _near(lines: DataFrame, shingle: int, similarity: float, crowd: int) -> DataFrame:
+    """(k, k2): those of `lines` (k, k2, first, body) that some earlier one matches."""
+    ranked = _words(lines).select("k", "k2", "first", _by_rarity(_tokens(shingle), token_levels(lines, shingle)).alias("ranked"))
+    ranked = ranked.select("k", "k2", "first", F.size("ranked").alias("n"), F.slice("ranked", F.lit(1), _prefix(F.size("ranked"), similarity)).alias("prefix"))
+    listed = kept(ranked.select("k", "k2", "first", "n", F.posexplode_outer("prefix").alias("at", "token")))
     leads = kept(listed.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("first", "k", "k2", "n", "at")).alias("lead")).filter("df > 1"))
     leads = leads.select("token", "df", F.col("lead.k").alias("x"), F.col("lead.k2").alias("x2"), F.col("lead.n").alias("x_n"), F.col("lead.at").alias("x_at"))
     followers = listed.join(leads, "token").filter("k <> x or k2 <> x2")
@@ -182,13 +193,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null id comes first. An empty table gives no rows.
     """
     lines = _lines(_chosen(docs, id_col, text_col))
-    levels, hot = token_levels(lines, shingle)
-    suspects = kept(_suspects(lines, shingle, similarity, levels, hot))
-    index = kept(_index(lines, suspects))
+    index = kept(_index(lines, shingle, similarity))
     at = F.struct("id", "row", "line")
-    folded = kept(index.groupBy("k", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.any_value("body").alias("body")).filter("n > 1 or body is not null"))
-    near = _near(kept(folded.select("k", "k2", "first", "body").join(suspects, "k")), levels, shingle, similarity, crowd)
-    doomed = folded.filter("n > 1").select("k", "k2", "first", F.lit(False).alias("gone")).unionByName(near.join(folded, ["k", "k2"]).select("k", "k2", "first", F.lit(True).alias("gone")))
+    again = index.groupBy("k", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    suspects = _suspects(lines, index)
+    near = _near(suspects, shingle, similarity, crowd).join(suspects, ["k", "k2"])
+    doomed = again.select("k", "k2", "first", F.lit(False).alias("gone")).unionByName(near.select("k", "k2", "first", F.lit(True).alias("gone")))
     doomed = kept(doomed.groupBy("k", "k2").agg(F.any_value("first").alias("first"), F.max("gone").alias("gone")))
     gone = index.select("k", "k2", "id", "row", "line").join(doomed, ["k", "k2"]).filter(F.col("gone") | ~at.eqNullSafe(F.col("first")))
     return gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("removed"))
