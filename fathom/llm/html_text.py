@@ -1,18 +1,22 @@
 """Main text of web pages: site templates are found by hashing element subtrees and counting them per host.
 
-Every page is parsed into its elements. Each block element outside the page's article is hashed with all that it holds
-(tag names and text). Spark counts the pages of each host that hold a hash, and subtrees that recur on many pages
-of their host are deleted. Elements that are never text (scripts, styles, forms) and those whose tag, role, class or id
-names a menu, header, footer, sidebar, notice, advert or comments are left out as well. If a page marks its article
-(`article` or `main`), its text is that of the article; what stands in it is not held against the template counts,
-so that an article which a host repeats stays whole.
+Every page is parsed into its block elements, inside its article and outside. Each gets a hash of all that it holds (tag
+names and text) and, if most of its text is links, one of its shape (tags and names, runs of like children taken
+together), as menus keep their shape where their words change. Spark counts the pages of each host that hold a hash.
+
+A subtree is deleted if its hash or shape is on `LEAST_PAGES` pages of its host, more than hold the page's article as it
+is, so that an article which a host repeats stays whole; a bare paragraph of an article, which quotes and refrains
+share, must be on `LEAST_SHARE` of the host's pages as well. Marks of HTML are evidence beside the counts: for an element whose
+tag, role or name says menu, header, footer, sidebar, notice, advert, form or comments one page is enough. Marks don't
+count on what holds more than half of the text of a page that has no article outside of them. If elements marked as
+article hold at least half of what is left, the text is theirs, else all that is left.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from html import unescape
 
 import pyarrow as pa
@@ -20,81 +24,125 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import BROADCAST_ROWS, checkpointed, documents
+from .common import BROADCAST_ROWS, documents, kept
 
-#: A subtree is template if it is on so many pages of its host, and on so large a share of them.
+#: A subtree is template from so many pages of its host on; a bare paragraph in an article needs that share of them too.
 LEAST_PAGES, LEAST_SHARE = 5, 0.3
+#: The share of links in the text from which a shape is counted.
+LINKS = 0.5
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea select svg math object".split())
+RAW = frozenset("script style template iframe textarea select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-NEVER = frozenset("head title nav footer aside form button dialog menu fieldset".split())
+MARKED = frozenset("nav footer aside form button dialog menu fieldset header".split())
+BARE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd td th tr table blockquote pre figure figcaption".split())
 CLOSES = {  # an opening tag ends these open ones
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|header|masthead|footer|side-?bars?|widgets?|ads?|advert(?:s|isements?|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|banners?|cookies?|consent|notices?|popups?|modal|"
-    r"overlay|newsletter|subscri(?:be|ption)|comments?|replies|disqus|respond|share|sharing|social|breadcrumbs?|related|recommended|pagination|pager|hidden)(?:$|[\s_-])"
+#: Words of class and id names that mark an element, and words beside them that take the mark back.
+NAMES = frozenset(
+    "nav navbar navigation menu menus header masthead footer sidebar sidebars widget widgets ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion "
+    "banner banners cookie cookies consent notice notices popup popups modal overlay newsletter subscribe subscription comment comments replies disqus respond share sharing social breadcrumb "
+    "breadcrumbs related recommended pagination pager hidden".split()
 )
+UNMARKED = frozenset("no not non has with without on in about of the".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WHITE = re.compile(r"\s+")
+JOINT = re.compile(r"[-_]+")
 
 
-class Page:
-    """A page's blocks in order, and the hashes of the block subtrees around its article.
+def attributes(raw: str) -> dict[str, str]:
+    """The attributes of a tag by lower-cased name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def marked(tag: str, own: dict[str, str], in_article: bool) -> bool:
+    """Whether the tag, role or names of an element say that it is no part of the article."""
+    if tag in MARKED and not (tag == "header" and in_article):
+        return True
+    if "hidden" in own or own.get("aria-hidden") == "true" or own.get("role") in ROLES:
+        return True
+    if tag in ("html", "body"):
+        return False
+    names = [set(JOINT.split(name)) for key in ("class", "id") for name in own.get(key, "").split()]
+    return any(n & NAMES and not n & UNMARKED and not (tag == "header" and in_article) for n in names)
+
+
+def _hash(value: str, seed: int) -> int:
+    return xxh64_intdigest(value.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
 
-    `blocks` has (text, in the article, subtrees that hold it); `subtrees` the hash of each.
-    """
+
+class Element:
+    """A block element: its parent, what marks it, and what its subtree holds."""
+
+    __slots__ = ("article", "bare", "content", "held", "kinds", "links", "mark", "name", "parent", "shape", "size", "tag")
+
+    def __init__(self, tag: str, parent: int, own: dict[str, str], in_article: bool):
+        self.tag, self.parent, self.mark = tag, parent, marked(tag, own, in_article)
+        self.article = tag in ("article", "main")
+        self.bare = tag in BARE and not own.get("class") and not own.get("id")
+        self.name = " ".join((tag, own.get("class", ""), own.get("role", "")))
+        self.held: list[str] = [tag]
+        self.kinds: list[str] = [self.name]
+        self.size = self.links = self.content = self.shape = 0
+
+
+class Page:
+    """A page's blocks in order, (text, its element), and its block elements, parents first; -1 is the page."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []
-        self.subtrees: list[int] = []
-        self._stack: list[list] = []  # tag, left out, in the article, subtree number or -1, pieces of what it holds
-        self._text: list[str] = []
+        self.blocks: list[tuple[str, int]] = []
+        self.elements: list[Element] = []
+        self._stack: list[tuple[str, int]] = []  # tag and element
+        self._text: list[tuple[str, bool]] = []  # raw text and whether it is a link's
+        self._link = False
         at = 0
         for m in iter(lambda: TOKEN.search(html, at), None):
             if m.start() > at:
-                self._text.append(html[at : m.start()])
+                self._text.append((html[at : m.start()], self._link))
             at = m.end()
             if not m[2]:
                 continue
             tag = m[2].lower()
             if m[1]:
                 self._close(tag)
+            elif tag in RAW or tag in ("head", "title"):  # what stands in these is no text
+                self._break()
+                if tag != "head" and not (m[3] or "").endswith("/"):
+                    at = re.compile(rf"</{re.escape(tag)}\s*>|$", re.IGNORECASE).search(html, at).end()
             else:
                 self._open(tag, m[3] or "")
-                if tag in RAW and not (m[3] or "").endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>|$", re.IGNORECASE).search(html, at)
-                    at = end.end()
-                    self._stack.pop()
-        self._text.append(html[at:])
+        self._text.append((html[at:], self._link))
         self._break()
         while self._stack:
             self._pop()
-        self.has_article = any(inside for _, inside, _ in self.blocks)
 
     def _break(self) -> None:
         """Ends a block: its white space becomes single spaces."""
         if self._text:
-            raw = "".join(self._text)
+            text = WHITE.sub(" ", unescape("".join(t for t, _ in self._text))).strip()
+            links = sum(len(t.strip()) for t, link in self._text if link)
             self._text.clear()
-            text = WHITE.sub(" ", unescape(raw)).strip()
             if text:
-                top = self._stack[-1] if self._stack else None
-                for entry in reversed(self._stack):
-                    if entry[3] >= 0:
-                        entry[4].append(text)
-                        break
-                if not (top and top[1]):
-                    self.blocks.append((text, bool(top and top[2]), tuple(e[3] for e in self._stack if e[3] >= 0)))
-
-    def _open(self, tag: str, attributes: str) -> None:
+                at = self._stack[-1][1] if self._stack else -1
+                self.blocks.append((text, at))
+                if at >= 0:
+                    element = self.elements[at]
+                    element.held.append(text)
+                    element.size += len(text)
+                    element.links += min(links, len(text))
+
+    def _open(self, tag: str, raw: str) -> None:
         if tag in INLINE:
+            self._link = self._link or tag == "a"
             return
         self._break()
         if tag in VOID:
@@ -107,27 +155,16 @@ class Page:
                     break
         while self._stack and self._stack[-1][0] in CLOSES.get(tag, ()):
             self._pop()
-        above = self._stack[-1] if self._stack else None
-        out, inside = bool(above and above[1]), bool(above and above[2])
-        out = out or tag in RAW or tag in NEVER or (tag == "header" and not inside)
-        if not out and attributes:
-            for m in ATTRIBUTE.finditer(attributes):
-                name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-                if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                    out = out or bool(NAMED.search(value))
-                elif name == "role":
-                    out = out or value in ROLES
-                elif name == "hidden" or name == "aria-hidden" and value == "true":
-                    out = True
-        inside = not out and (inside or tag in ("article", "main"))
-        number = -1
-        if not inside and tag not in ("html", "body", "head"):
-            number = len(self.subtrees)
-            self.subtrees.append(0)
-        self._stack.append([tag, out, inside, number, [tag]])
+        at = self._stack[-1][1] if self._stack else -1
+        if tag not in ("html", "body"):
+            inside = any(self.elements[k].article for _, k in self._stack if k >= 0)
+            self.elements.append(Element(tag, at, attributes(raw) if raw.strip() else {}, inside))
+            at = len(self.elements) - 1
+        self._stack.append((tag, at))
 
     def _close(self, tag: str) -> None:
         if tag in INLINE:
+            self._link = self._link and tag != "a"
             return
         self._break()
         if tag in VOID:
@@ -141,62 +178,123 @@ class Page:
                 return
 
     def _pop(self) -> None:
-        tag, _, _, number, held = self._stack.pop()
-        if number >= 0:
-            self.subtrees[number] = value = xxh64_intdigest("\0".join(held).encode("utf-8", "surrogatepass"), 7) - (1 << 63)
-            for entry in reversed(self._stack):
-                if entry[3] >= 0:
-                    entry[4].append(str(value))
-                    break
+        tag, at = self._stack.pop()
+        if tag in ("html", "body"):
+            return
+        own = self.elements[at]
+        own.content = _hash("\0".join(own.held), 7)
+        own.shape = _hash("\0".join(own.kinds), 11)
+        if own.parent >= 0:
+            above, kind = self.elements[own.parent], str(own.shape)
+            above.held.append(str(own.content))
+            if above.kinds[-1] != kind:
+                above.kinds.append(kind)
+            above.size += own.size
+            above.links += own.links
+
+    def _linked(self, own: Element) -> bool:
+        return own.links >= LINKS * own.size > 0
+
+    def hashes(self) -> set[int]:
+        """What is counted once for the page: the contents of its elements, and the shapes of those that are mostly links."""
+        full = [e for e in self.elements if e.size]
+        return {e.content for e in full} | {e.shape for e in full if self._linked(e)}
 
-    def text(self, template: frozenset | set = frozenset()) -> str:
-        """The article's blocks, or else the page's blocks that are in no template subtree, joined by spaces."""
-        if self.has_article:
-            return " ".join(t for t, inside, _ in self.blocks if inside)
-        return " ".join(t for t, _, held in self.blocks if not any(self.subtrees[k] in template for k in held))
+    def _out(self, seen: Mapping[int, int], pages: int, least_pages: int, least_share: float) -> list[bool]:
+        """Which elements are deleted, given on how many pages of the host each hash is."""
+        elements = self.elements
+        below: list[bool] = []  # under a mark
+        inside: list[int] = []  # the outermost article around, or -1
+        for k, own in enumerate(elements):
+            below.append(own.mark or (own.parent >= 0 and below[own.parent]))
+            inside.append(inside[own.parent] if own.parent >= 0 and inside[own.parent] >= 0 else k if own.article else -1)
+        has_article = any(own.article and own.size and not under for own, under in zip(elements, below, strict=True))
+        total = sum(len(text) for text, _ in self.blocks)
+        out: list[bool] = []
+        for k, own in enumerate(elements):
+            article = elements[inside[k]] if inside[k] >= 0 else None
+            copies = seen.get(article.content, 0) if article else 0
+            n = seen.get(own.content, 0) - copies
+            recurs = n >= least_pages and not (own.bare and article and n < least_share * pages)
+            menu = self._linked(own) and seen.get(own.shape, 0) >= least_pages and own is not article and not (own.bare and article)
+            mark = own.mark and (has_article or 2 * own.size <= total)
+            out.append(recurs or menu or mark or (own.parent >= 0 and out[own.parent]))
+        return out
+
+    def text(self, seen: Mapping[int, int] | None = None, pages: int = 0, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> str:
+        """The blocks that are left, or those of them in articles, joined by spaces; `seen`: pages of the host by hash."""
+        out = self._out(seen or {}, pages, least_pages, least_share)
+        left = [(text, k) for text, k in self.blocks if k < 0 or not out[k]]
+        article: list[bool] = []
+        for own in self.elements:
+            article.append(own.article or (own.parent >= 0 and article[own.parent]))
+        chosen = [text for text, k in left if k >= 0 and article[k]]
+        if 2 * sum(map(len, chosen)) >= sum(len(text) for text, _ in left):
+            return " ".join(chosen)
+        return " ".join(text for text, _ in left)
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hash): the subtrees of (host, html) that recur on at least so many pages and that share of their host."""
+def with_host(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, host); a url without a host shares the host ''."""
+    return pages.select("page_id", "url", "html", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"))
+
+
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, hash, n): the hashes of (host, html) on at least so many pages of their host; under 0 each host's pages."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()  # summed before the shuffle
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                found.update((host, h) for h in {*Page(html.as_py() or "").subtrees, 0})
+                found.update((host, h) for h in {*Page(html.as_py() or "").hashes(), 0})
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([found[k] for k in keys], pa.int64())], ["host", "hash", "n"])
 
-    counts = pages.select("host", "html").mapInArrow(work, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).filter((F.col("n") >= least_pages) | (F.col("hash") == 0))
-    counts = checkpointed(counts)
-    hosts = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))  # every page counts once under 0
-    return counts.filter("hash <> 0").join(hosts, "host").filter(F.col("n") >= least_share * F.col("pages")).select("host", "hash")
+    counts = pages.select("host", "html").mapInArrow(work, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
+    return counts.filter((F.col("n") >= least_pages) | (F.col("hash") == 0))
+
+
+def _held(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """`pages` with `seen`, their own hashes that are in `found`: joined hash by hash, so that no page gets all of its host's."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(host, key, h) for host, key, html in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html"), strict=True) for h in {*Page(html.as_py() or "").hashes(), 0}]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "key", "hash"])
+
+    keyed = pages.withColumn("key", F.xxhash64("host", "html"))
+    own = keyed.select("host", "key", "html").mapInArrow(work, "host string, key long, hash long").distinct().join(found, ["host", "hash"])
+    seen = kept(own.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("hash", "n")).alias("seen")))
+    return keyed.join(seen, F.col("key") == F.col("of"), "left").drop("key", "of")
 
 
 def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(page_id, url, text) of every row of `pages` (page_id, url, html).
+    """(page_id, url, text) of every row of `pages` (page_id, url, html); other columns are left.
 
-    Null and empty html give an empty text; a url without a host shares the host ''. The template hashes are
-    broadcast if they are at most `broadcast_rows`; else each page is joined with its host's.
+    Null and empty html give an empty text; rows that repeat a page_id are pages of their own; an empty table gives no
+    rows. The recurring hashes are broadcast if they are at most `broadcast_rows`; else each page is joined with its own.
     """
-    pages = pages.select("page_id", "url", "html", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"))
-    found = checkpointed(templates(pages, least_pages, least_share))
     kinds = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url {pages.schema['url'].dataType.simpleString()}, text string"
+    pages = with_host(pages)
+    found = kept(templates(pages, least_pages))
     if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        by_host: dict[str, set[int]] = {}
+        by_host: dict[str, dict[int, int]] = {}
         for r in found.toLocalIterator():
-            by_host.setdefault(r.host, set()).add(r.hash)
+            by_host.setdefault(r.host, {})[r.hash] = r.n
         shared, joined = pages.sparkSession.sparkContext.broadcast(by_host), pages
     else:
-        shared, joined = None, pages.join(found.groupBy("host").agg(F.collect_set("hash").alias("template")), "host", "left")
+        shared, joined = None, _held(pages, found)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shared.value.get(h, ()) for h in batch.column("host").to_pylist()] if shared else [set(t or ()) for t in batch.column("template").to_pylist()]
-            out = [Page(h.as_py() or "").text(t) for h, t in zip(batch.column("html"), sets, strict=True)]
+            if shared:
+                sets = [shared.value.get(h, {}) for h in batch.column("host").to_pylist()]
+            else:
+                sets = [{x["hash"]: x["n"] for x in held or ()} for held in batch.column("seen").to_pylist()]
+            out = [Page(h.as_py() or "").text(seen, seen.get(0, 0), least_pages, least_share) for h, seen in zip(batch.column("html"), sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(work, kinds)

@@ -24,6 +24,10 @@ DIMENSIONS = 4096
 #: Training rows that the centroids are fitted on, about, in all; document frequencies take every training row.
 FITTED_ROWS = 2400
 CLUSTERS = 4
+#: Languages that are learned: those of most training rows.
+LANGS_MOST = 256
+#: Texts whose dense counts are held at once: some 8 MB.
+ROWS = 256
 #: Least cosine with some centroid of a document that isn't rejected.
 REJECT = 0.15
 
@@ -76,13 +80,16 @@ class Model:
 
 
 def fit(rows: DataFrame, fitted_rows: int = FITTED_ROWS, clusters: int = CLUSTERS) -> Model:
-    """Learns from (id, text, lang); rows without a text or language say nothing."""
+    """Learns from (id, text, lang); rows without a text or language say nothing, and rows that repeat all three count once.
+
+    About `fitted_rows` texts are fitted on, at least 20 for each of at most `LANGS_MOST` languages, by the hash of id and text.
+    """
     rows = rows.filter("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
-            for a, b, data, ends in slices(batch.column("text")):
+            for a, b, data, ends in slices(batch.column("text"), most_rows=ROWS):
                 total += (ngram_counts(data, ends) > 0).sum(axis=0)
                 n += b - a
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMENSIONS)), pa.array(np.concatenate(([n], total)))], ["k", "n"])
@@ -91,16 +98,17 @@ def fit(rows: DataFrame, fitted_rows: int = FITTED_ROWS, clusters: int = CLUSTER
     seen = np.zeros(DIMENSIONS + 1)
     seen[found.column("k").to_numpy() + 1] = found.column("n").to_numpy()
     idf = np.log((1 + seen[0]) / (1 + seen[1:])) + 1
-    sizes = rows.groupBy("lang").count().collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS_MOST).collect()
     if not sizes:
         return Model(idf, np.zeros((0, DIMENSIONS)), [])
     each = max(20, fitted_rows // len(sizes))
     share = rows.sparkSession.createDataFrame([(r.lang, r["count"]) for r in sizes], "lang string, n long")
-    sample = rows.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("id"), F.col("n")) < each).select("text", "lang")
+    sample = rows.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("id", "text"), F.col("n")) < each)
+    sample = sample.select("text", "lang", F.xxhash64("id", "text").alias("h")).dropDuplicates(["lang", "h"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, ends in slices(batch.column("text")):
+            for a, b, data, ends in slices(batch.column("text"), most_rows=ROWS):
                 x = vectors(ngram_counts(data, ends), idf).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "x"])
 
@@ -123,7 +131,7 @@ def identified(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             none = np.asarray(batch.column("text").is_null())
-            for a, b, data, ends in slices(batch.column("text")):
+            for a, b, data, ends in slices(batch.column("text"), most_rows=ROWS):
                 if not model.langs:
                     lang, score = ["und"] * (b - a), np.zeros(b - a)
                 else:

@@ -21,6 +21,8 @@ from .vec import ALNUM, GRAPH, LOWER, byte_table, run_hashes, runs, slices
 
 #: Labelled documents that the model is fitted on, at most: those of the smallest id hash.
 FITTED_MOST = 5000
+#: Lines of their documents, at most; each takes a few hundred bytes of the driver.
+LINES_MOST = 200_000
 STEPS, RATE, SHRINK = 120, 0.1, 1e-4
 
 _UPPER, _DIGIT, _HIGH = byte_table((65, 90)), byte_table((48, 57)), byte_table((128, 255))
@@ -161,9 +163,10 @@ def train(x: np.ndarray, row: np.ndarray, size: np.ndarray, label: np.ndarray) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FITTED_MOST) -> Model:
-    """Learns from the labelled rows of (id, text) and (id, quality), at most `most` of them by the id's hash.
+    """Learns from the labelled rows of (id, text) and (id, quality): at most `most` labels by the id's hash, and of their
+    documents, in that order, as many as have `LINES_MOST` lines together.
 
-    Without labelled lines every score is 0.5.
+    Null texts and null ids say nothing; without labelled lines every score is 0.5.
     """
     labels = labels.filter("id is not null and quality is not null").groupBy("id").agg(F.min("quality").alias("quality"))
     chosen = checkpointed(labels.orderBy(F.xxhash64("id"), "id").limit(most))
@@ -179,7 +182,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FITTED_MOST) -> Model:
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    sample = docs.join(F.broadcast(chosen), "id").select("id", "text", F.col("quality").cast("int").alias("quality"))
+    sample = docs.join(F.broadcast(chosen), "id").select("id", "text", F.col("quality").cast("int").alias("quality"), F.xxhash64("id").alias("h"), F.xxhash64("text").alias("h2"), F.size(F.split("text", "\n")).alias("lines"))
+    sample = checkpointed(sample.filter("text is not null").dropDuplicates(["id", "h2"]))
+    total, cut = 0, None
+    for r in sample.select("h", "h2", "lines").orderBy("h", "h2").limit(most).collect():
+        total += r.lines
+        if total > LINES_MOST:
+            break
+        cut = (r.h, r.h2)
+    if cut:
+        sample = sample.filter(F.struct("h", "h2") <= F.struct(F.lit(cut[0]).alias("h"), F.lit(cut[1]).alias("h2")))
+    else:
+        sample = sample.limit(0)
     rows = sample.mapInArrow(numbers, f"id {kind}, y int, x binary, size array<double>").toArrow().sort_by("id").to_pylist()
     rows = [r for r in rows if r["size"]]
     if not rows:

@@ -47,15 +47,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) for every row of `docs`; fp is the fingerprint as a signed long."""
+    """(id, h, fp) for every row of `docs`: a hash of the text, and the fingerprint as a signed long."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(found.view(np.int64))], ["id", "h", "fp"])
 
-    chosen = picked(docs, id_col, text_col)
-    return chosen.mapInArrow(work, f"id {chosen.schema['id'].dataType.simpleString()}, fp long")
+    chosen = picked(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    return chosen.mapInArrow(work, f"id {chosen.schema['id'].dataType.simpleString()}, h long, fp long")
 
 
 def unpacked(fps: np.ndarray) -> np.ndarray:
@@ -215,12 +215,8 @@ def _linked_by_neighbours(fps: DataFrame, bits: int) -> DataFrame:
     return pairs.filter("a < b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
-    """(id, fp, component): for every row of `docs` its fingerprint and the smallest id that it is linked to.
-
-    Null and empty texts have fingerprint 0 and are linked like any other; rows with one id keep their own
-    fingerprints; a null id is never the smallest unless its component has no other; an empty table gives no rows.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int) -> DataFrame:
+    """(id, h, fp, root, component): the root names the component among fingerprints, the other among ids."""
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     distinct = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least")))
     roots = checkpointed(connected_components(links(distinct, bits)))
@@ -228,27 +224,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     )
     least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component")))
-    by_fp = checkpointed(rooted.join(least, "root").select("fp", "component"))
-    return fps.join(by_fp, "fp").select("id", "fp", "component")
+    by_fp = checkpointed(rooted.join(least, "root").select("fp", "root", "component"))
+    return fps.join(by_fp, "fp").select("id", "h", "fp", "root", "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
+    """(id, fp, component): for every row of `docs` its fingerprint and the smallest id that it is linked to.
+
+    Null and empty texts have fingerprint 0 and are linked like any other; rows with one id keep their own
+    fingerprints; a null id is never the smallest unless its component has no other; an empty table gives no rows.
+    """
+    return _linked(docs, id_col, text_col, shingle, bits).select("id", "fp", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
-    """The rows of `docs` less those whose near-duplicate component holds a smaller id; all columns stay.
+    """One row of `docs` for each near-duplicate component: that of the smallest id, and of its smallest text hash if
+    unlike texts of the component share the id. All columns stay.
 
-    Rows that repeat an id count as one document and leave one row, whichever Spark meets first.
+    A null id counts as the largest. Rows alike in id and text are one document and leave one row. Texts that are in different components
+    stay, whatever their ids; null and empty texts are near-duplicates of each other.
     """
-    return least_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, bits), id_col)
+    return least_of_each(docs, _linked(docs, id_col, text_col, shingle, bits).select("id", "h", "root"), id_col, text_col)
 
 
-def least_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of `docs` whose id is its own component in `found` (id, component), one for each id."""
-    found = checkpointed(found)
-    kept = docs.join(
-        found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__kept")).distinct(),
-        F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi",
-    )
-    repeated = found.groupBy("id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+def least_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of `docs` for each root of `found` (id, h, root), h a hash of the text: the least by id, nulls last, and h."""
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    least = checkpointed(found.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.id").alias("__id"), F.col("least.h").alias("__h")))
+    kept = docs.join(least, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_semi")
+    if docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("__h", F.xxhash64(text_col)).dropDuplicates([id_col, "__h"]).drop("__h")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -276,8 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_most: int = TOXIC_MOST, clean_
             codes, ends, *_ = words_of(terms)
             yield batch.filter(pa.array(automaton.run(codes, ends[:-1], ends[1:]) == NEAR))
 
-    # Words of clean documents within an edit of a term are words of their own.
-    known = {r.term for r in counts.filter("not stem and clean >= 1").select("term").mapInArrow(near, "term string").limit(100_000).collect()}
+    # Words of the sample's clean documents within an edit of a term are words of their own; the terms bound their number.
+    known = {r.term for r in counts.filter("not stem and clean >= 1").select("term").mapInArrow(near, "term string").collect()}
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,28 +295,36 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_most: int = TOXIC_MOST, clean_
     return Model(automaton, words, stems, known, logistic(x, y, np.where(y == 1, share[1] / have[1], share[0] / have[0])))
 
 
+def _scores(model: Model, column: pa.Array) -> np.ndarray:
+    z = [features(model.automaton, model.known, texts) @ model.weights for _, texts in text_slices(column)]
+    return 1 / (1 + np.exp(-np.clip(np.concatenate([*z, np.zeros(0)]), -30, 30)))
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(id, score) for every row of (id, text): the chance of being toxic; null and empty texts have no hits."""
+    """(id, score) for every row of (id, text): the chance of being toxic.
+
+    Null and empty texts have no hits, and the score of such texts; every row has its own, whatever its id; an empty
+    table gives no rows.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in text_slices(batch.column("text")):
-                z = features(model.automaton, model.known, texts) @ model.weights
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(texts)), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_scores(model, batch.column("text")))], ["id", "score"])
 
     return docs.mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, score double")
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", reject: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose score is below `reject`; all columns stay, in one pass without a shuffle."""
-    at = docs.columns.index(text_col)
+    """The rows of `docs` whose score is below `reject`; all columns stay, whatever their names, in one pass without a shuffle.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [1 / (1 + np.exp(-np.clip(features(model.automaton, model.known, texts) @ model.weights, -30, 30))) < reject for _, texts in text_slices(batch.column(at))]
-            yield batch.filter(pa.array(np.concatenate([*keep, np.zeros(0, bool)]).astype(bool)))
+    Only the texts go to Python. Null and empty texts have no hits; rows that repeat an id are judged by their own texts.
+    """
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(_scores(model, texts))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.filter(score(text_col) < reject)
 
 
 def held_out(id_col: str = "doc_id", fold: int = 5, at: int = 0):

@@ -37,12 +37,13 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), ends
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Whole rows in runs of about `most` bytes: (first row, row after the last, bytes, offsets from 0)."""
+def slices(column: pa.Array, most: int = SLICE_BYTES, most_rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Whole rows in runs of about `most` bytes, at most `most_rows`: (first row, row after the last, bytes, offsets from 0)."""
     data, ends = column_bytes(column)
     row, rows = 0, len(ends) - 1
     while row < rows:
         last = max(row + 1, int(np.searchsorted(ends, ends[row] + most, side="right")) - 1)
+        last = min(last, row + most_rows)
         yield row, last, data[ends[row] : ends[last]], ends[row : last + 1] - ends[row]
         row = last
 

@@ -129,6 +129,57 @@ def test_recurring_subtrees_go_and_the_rest_stays(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+def extract(html: str) -> str:
+    return html_text.Page(html).text()
+
+
+def test_marks_are_read_from_attributes_and_wrappers_stay():
+    body = "<p>One story of some length.</p><p>It goes on.</p>"
+    story = "One story of some length. It goes on."
+    for own in ('style="overflow:hidden"', 'title="hidden gems"', 'data-id="nav"', 'class="layout has-sidebar"', 'class="no-sidebar content"', 'id="comments-on-kant"', 'class="menu"', "role=form"):
+        assert extract(f"<body><div {own}><article>{body}</article></div></body>") == story
+        assert extract(f"<body><nav>Menu</nav><div {own}>{body}</div></body>") == story
+    for box in ('<div class="ad">buy</div>', '<div id="cookie-notice">ok?</div>', "<aside>more</aside>", '<article class="comment">so true</article>', '<section class="comments"><article>so true</article></section>', "<form>mail <textarea>x</textarea></form>", "<div hidden>h</div>", "<script>a<b</script>", "<style>p{}</style>"):
+        assert extract(f"<body>{box}<article>{body}</article>{box}</body>") == story
+        assert extract(f"<body><article>{body}{box}</article></body>") == story
+    assert extract("<article><header><h1>Title</h1></header><p>a <math><mi>x</mi></math> b</p><noscript>c</noscript><object>d</object></article>") == "Title a x b c d"
+    teasers = "".join(f"<article>teaser {k}</article>" for k in range(3))
+    assert extract(f"<body><div><p>{'word ' * 40}</p></div>{teasers}</body>").startswith("word word")
+    assert extract("") == extract("<p>") == extract("<div></div>") == ""
+
+
+def test_templates_go_inside_of_articles_and_copies_stay(spark):
+    rng = random.Random(3)
+    words = [f"word{k}" for k in range(500)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, want = [], []
+    for k in range(40):  # one box in a neutral div within the article, a menu whose words change
+        story, links = text(30), "".join(f"<li><a href='/{j}'>{text(2)}</a></li>" for j in range(5))
+        rows.append((k, f"http://big.org/{k}", f"<body><div><ul>{links}</ul></div><article><p>{story}</p><div>Read it in our app</div></article></body>"))
+        want.append(story)
+    copy = text(50)
+    for k in range(40, 60):  # an article that the host repeats
+        rows.append((k, f"http://big.org/{k}", f"<body><article><p>{copy}</p><p>{copy} end</p></article></body>"))
+        want.append(f"{copy} {copy} end")
+    rows += [(60, "http://small.org/", rows[0][2]), (60, "http://small.org/", rows[0][2]), (61, "http://small.org/x", "<p>" + "long word " * 100_000)]
+    want += [want[0] + " Read it in our app"] * 2 + [("long word " * 100_000).strip()]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, n long")
+    for most in (1000, 0):
+        assert sorted((r.page_id, r.text) for r in html_text.extracted(pages, broadcast_rows=most).collect()) == [(r[0], w) for r, w in zip(rows, want, strict=True)]
+
+
+def test_counts_of_subtrees_against_brute_force(spark):
+    pages = html_text.with_host(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    counts, n = defaultdict(int), defaultdict(int)
+    for r in pages.collect():
+        n[r.host] += 1
+        for h in html_text.Page(r.html or "").hashes():
+            counts[r.host, h] += 1
+    want = {(host, h): k for (host, h), k in counts.items() if k >= 5} | {(host, 0): k for host, k in n.items()}
+    assert {(r.host, r.hash): r.n for r in html_text.templates(pages).collect()} == want
+    assert any(h for _, h in want)
+
+
 def test_pipeline_keeps_clean_documents_and_drops_the_planted(spark, tmp_path, monkeypatch):
     rng = random.Random(7)
     words = [f"word{k}" for k in range(3000)]

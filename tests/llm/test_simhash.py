@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
+from fathom.llm import near_documents
 from fathom.llm import simhash as S
 from fathom.llm.common import connected_components
 
@@ -108,3 +109,13 @@ def test_one_of_each_and_edge_cases(spark):
     kept = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, component string"))
     assert kept.columns == ["doc_id", "text", "component"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+
+
+def test_one_of_each_keeps_unlike_texts_of_one_id(spark):
+    rows = [(None, "a b c d"), (None, "e f g h"), (5, "i j k l"), (5, "m n o p"), (5, "m n o p"), (6, "m n o p"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component long")
+    for stage in (S.one_of_each, near_documents.one_of_each):
+        kept = stage(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "a b c d"), (0, "e f g h"), (5, "i j k l"), (5, "m n o p"), (7, "")]
+        assert stage(docs.limit(0)).count() == 0
