@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of two or three longs that may be broadcast once counted: about 4 MB.
 BROADCAST_ROWS = 1 << 17
+#: Bits of a bitmap of hashes: it is broadcast, as 8 MB at most.
+BITMAP = 1 << 26
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -47,6 +49,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def maybe_in(rows: DataFrame, column: str, values: DataFrame, others: bool = False) -> DataFrame:
+    """Those of `rows` whose `column`, a hash, may be among that of `values`; with `others`, those that are surely not.
+
+    A bitmap of fixed size is broadcast. What it lets through by chance, the more the fuller it is, is for an exact join after it.
+    """
+    place = F.pmod(column, F.lit(BITMAP))
+    bits = values.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("__bit"))
+    bitmap = kept(bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bitmap")))
+    joined = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(place) == F.col("__bucket"), "left" if others else "inner").withColumn("__bit", F.bitmap_bit_position(place))
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False))
+    return joined.filter(~hit if others else hit).select(rows.columns)
+
+
 def picked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under the names that the operators use; other columns can't clash."""
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

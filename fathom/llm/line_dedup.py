@@ -29,15 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, kept
+from .common import documents, kept, maybe_in
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Lines under one token that are still paired; above it the semi-join takes over.
 CROWD = 64
 #: Buckets of the table of token counts; a power of two.
 BUCKETS = 1 << 17
-#: Bits of a bitmap: it is broadcast, as 8 MB at most.
-BITMAP = 1 << 26
 #: White space besides the blank and the line's end.
 OTHER_SPACE = "\t\v\f\r"
 
@@ -112,24 +110,16 @@ def _index(lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return bounded.select("id", "row", "line", "k", "k2", F.array_distinct(listed).alias("prefix"))
 
 
-def _marked_by(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
-    """Those of `rows` whose `column` may be among that of `values`, by a bitmap of hashes; it is broadcast."""
-    place = F.pmod(column, F.lit(BITMAP))
-    bits = values.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("__bit"))
-    bitmap = kept(bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bitmap")))
-    joined = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(place) == F.col("__bucket")).withColumn("__bit", F.bitmap_bit_position(place))
-    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return joined.filter(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1).select(rows.columns)
-
-
 def _suspects(lines: DataFrame, index: DataFrame) -> DataFrame:
     """(k, k2, first, body) of the different lines that share a listed token with a line of another hash."""
     listed = index.select("k", F.explode_outer("prefix").alias("token")).filter("token is not null")
     shared = kept(listed.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a <> b").select("token"))
-    suspect = kept(_marked_by(listed, "token", shared).join(shared, "token", "left_semi").select("k").distinct())
+    # Inner joins, as Spark would move a semi-join below the bitmap's.
+    suspect = kept(maybe_in(listed, "token", shared).join(shared, "token").select("k").distinct())
+    pair = kept(maybe_in(index.select("k", "k2"), "k", suspect).join(suspect, "k").distinct())
     keyed = lines.select(F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), "id", "row", "line", "body")
-    folded = _marked_by(keyed, "k", suspect).groupBy("k", "k2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.any_value("body").alias("body"))
-    return kept(folded.join(suspect, "k", "left_semi"))
+    folded = maybe_in(keyed, "k", suspect).groupBy("k", "k2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.any_value("body").alias("body"))
+    return kept(folded.join(pair, ["k", "k2"]))
 
 
 def _similar(a: str, b: str, similarity: float) -> Column:
@@ -146,14 +136,22 @@ def _may_match(similarity: float) -> Column:
 
 def _with_tokens(rows: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
     """`rows` (k, k2) with the tokens of their lines."""
-    return _words(rows.join(lines.select("k", "k2", "body"), ["k", "k2"])).withColumn("tokens", _tokens(shingle)).drop("body", "words")
+    return _words(rows.join(maybe_in(lines.select("k", "k2", "body"), "k", rows), ["k", "k2"])).withColumn("tokens", _tokens(shingle)).drop("body", "words")
+
+
+def _may_share(shingle: int, similarity: float) -> Column:
+    """Whether few enough of a line's different words are missing in the other: each word that no shared shingle holds
+    begins a shingle that isn't shared, but for the last few."""
+    shared = F.ceil((F.col("n") + F.col("x_n")) * (similarity / (1 + similarity)) - 1e-9)
+    return F.size(F.array_except("words", "x_words")) <= F.col("n") - shared + shingle - 1
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(k, k2): those of the distinct (k, k2, x, x2) pairs that are similar. Bodies are moved, as they are smaller than tokens."""
-    x = lines.select(F.col("k").alias("x"), F.col("k2").alias("x2"), F.col("body").alias("x_body"))
-    both = pairs.join(lines.select("k", "k2", "body"), ["k", "k2"]).join(x, ["x", "x2"])
-    both = _words(both).withColumn("x_words", F.array_remove(F.split("x_body", " "), ""))
+    """(k, k2): those of the distinct (k, k2, x, x2) pairs of n and x_n tokens that are similar. Bodies are moved, as they are smaller than tokens."""
+    named = pairs.select("k").unionByName(pairs.select(F.col("x").alias("k")))
+    lines = maybe_in(lines.select("k", "k2", "body"), "k", named)
+    both = pairs.join(lines, ["k", "k2"]).join(lines.select(F.col("k").alias("x"), F.col("k2").alias("x2"), F.col("body").alias("x_body")), ["x", "x2"])
+    both = _words(both).withColumn("x_words", F.array_remove(F.split("x_body", " "), "")).filter(_may_share(shingle, similarity))
     tokens = both.select("k", "k2", _tokens(shingle).alias("tokens"), _tokens(shingle, "x_words").alias("x_tokens"))
     return tokens.groupBy("k", "k2").agg(F.bool_or(_similar("tokens", "x_tokens", similarity)).alias("any")).filter("any").select("k", "k2")
 
@@ -163,18 +161,20 @@ def _near(lines: DataFrame, shingle: int, similarity: float, crowd: int) -> Data
     ranked = _words(lines).select("k", "k2", "first", _by_rarity(_tokens(shingle), token_levels(lines, shingle)).alias("ranked"))
     ranked = ranked.select("k", "k2", "first", F.size("ranked").alias("n"), F.slice("ranked", F.lit(1), _prefix(F.size("ranked"), similarity)).alias("prefix"))
     listed = kept(ranked.select("k", "k2", "first", "n", F.posexplode_outer("prefix").alias("at", "token")))
-    leads = kept(listed.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("first", "k", "k2", "n", "at")).alias("lead")).filter("df > 1"))
-    leads = leads.select("token", "df", F.col("lead.k").alias("x"), F.col("lead.k2").alias("x2"), F.col("lead.n").alias("x_n"), F.col("lead.at").alias("x_at"))
+    shared = kept(listed.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
+    listed = kept(maybe_in(listed, "token", shared).join(shared, "token"))
+    leads = kept(listed.groupBy("token").agg(F.min(F.struct("first", "k", "k2", "n", "at")).alias("lead")))
+    leads = leads.select("token", F.col("lead.k").alias("x"), F.col("lead.k2").alias("x2"), F.col("lead.n").alias("x_n"), F.col("lead.at").alias("x_at"))
     followers = listed.join(leads, "token").filter("k <> x or k2 <> x2")
-    pairs = kept(followers.filter(_may_match(similarity)).select("k", "k2", "x", "x2").distinct())
+    pairs = kept(followers.filter(_may_match(similarity)).select("k", "k2", "n", "x", "x2", "x_n").distinct())
     copies = kept(_verified(pairs, lines, shingle, similarity))
     # The others, under tokens that hold more than them and the line just tried.
     rest = kept(followers.filter("df > 2").select("token", "df", "k", "k2", "first", "n", "at", "x", "x2").join(copies, ["k", "k2"], "left_anti"))
-    earlier = listed.join(rest.select("token").distinct(), "token", "left_semi")
+    earlier = listed.join(kept(rest.select("token").distinct()), "token")
     earlier = kept(earlier.select("token", *(F.col(c).alias(f"x_{c}") for c in ("k", "k2", "first", "n", "at"))))
     fits = (F.col("x_first") < F.col("first")) & ((F.col("x_k") != F.col("x")) | (F.col("x_k2") != F.col("x2"))) & _may_match(similarity)
     pairs = rest.filter(F.col("df") <= crowd).join(earlier, "token").filter(fits)
-    few = kept(_verified(kept(pairs.select("k", "k2", F.col("x_k").alias("x"), F.col("x_k2").alias("x2")).distinct()), lines, shingle, similarity))
+    few = kept(_verified(kept(pairs.select("k", "k2", "n", F.col("x_k").alias("x"), F.col("x_k2").alias("x2"), "x_n").distinct()), lines, shingle, similarity))
     crowded = rest.filter(F.col("df") > crowd)
     if crowded.isEmpty():
         return copies.unionByName(few)
@@ -200,15 +200,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = _near(suspects, shingle, similarity, crowd).join(suspects, ["k", "k2"])
     doomed = again.select("k", "k2", "first", F.lit(False).alias("gone")).unionByName(near.select("k", "k2", "first", F.lit(True).alias("gone")))
     doomed = kept(doomed.groupBy("k", "k2").agg(F.any_value("first").alias("first"), F.max("gone").alias("gone")))
-    gone = index.select("k", "k2", "id", "row", "line").join(doomed, ["k", "k2"]).filter(F.col("gone") | ~at.eqNullSafe(F.col("first")))
+    gone = maybe_in(index.select("k", "k2", "id", "row", "line"), "k", doomed).join(doomed, ["k", "k2"]).filter(F.col("gone") | ~at.eqNullSafe(F.col("first")))
     return gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
-    """`docs` with the numbers of the lines that go, `__removed`, null where none goes."""
-    gone = kept(removed_lines(docs, id_col, text_col, **how)).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("removed").alias("__removed"))
-    own = F.col(id_col).eqNullSafe(F.col("__id")) & ((F.col("__row") == 0) | (F.col("__row") == F.xxhash64(text_col)))
-    return docs.join(gone, own, "left").drop("__id", "__row")
+def _marked(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """`docs` (with `__hash` of the text) with the numbers of the lines that go, `__removed`, null where none goes."""
+    gone = gone.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("removed").alias("__removed"))
+    own = F.col(id_col).eqNullSafe(F.col("__id")) & ((F.col("__row") == 0) | (F.col("__row") == F.col("__hash")))
+    return docs.join(gone, own, "left").drop("__id", "__row", "__hash")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -216,7 +216,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     All columns stay; `n_chars`, where there is one, is counted anew. Documents that lose no line are as they were.
     """
-    joined = _marked(docs, id_col, text_col, **how)
+    gone = kept(removed_lines(docs, id_col, text_col, **how))
+    joined = _marked(docs.withColumn("__hash", F.xxhash64(text_col)), gone, id_col)
     left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
     out = joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(left))
     out = out.filter(F.col("__removed").isNull() | F.col(text_col).rlike(r"[^ \t-\r]"))
@@ -228,8 +229,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers of the removed lines, comma-joined."""
     n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
-    return _marked(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text").select(
-        "doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
+    docs = documents(spark, sf_dir)
+    gone = kept(removed_lines(docs))
+    return _marked(docs.select("doc_id", n_lines.alias("n_lines"), F.xxhash64("text").alias("__hash")), gone, "doc_id").select(
+        "doc_id", "n_lines", F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join("__removed", ","), F.lit("")).alias("removed"),
     )
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, connected_components, picked, small
+from .common import checkpointed, connected_components, maybe_in, picked, small
 
 BITS = 64
 #: Pairs that a bucket may make for each of its rows before its fingerprints take the pair-free way.
@@ -251,10 +251,15 @@ def least_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str)
     """One row of `docs` for each root of `found` (id, h, root), h a hash of the text: the least by id, nulls last, and h."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     least = checkpointed(found.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.id").alias("__id"), F.col("least.h").alias("__h")))
-    kept = docs.join(least, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_semi")
-    if docs.groupBy(id_col).count().filter("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("__h", F.xxhash64(text_col)).dropDuplicates([id_col, "__h"]).drop("__h")
+    gone = found.join(least, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left_anti")
+    gone = checkpointed(gone.select(F.col("id").alias("__id"), F.col("h").alias("__gone")).distinct())
+    hashed, marks = docs.withColumn("__h", F.xxhash64(text_col)), gone.select(F.col("__gone").alias("__h"))
+    # Most rows are surely not among those that go, and aren't moved.
+    rest = maybe_in(hashed, "__h", marks).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__gone")), "left_anti")
+    out = maybe_in(hashed, "__h", marks, others=True).unionByName(rest)
+    if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "__h"])
+    return out.drop("__h")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
