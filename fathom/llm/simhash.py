@@ -255,7 +255,8 @@ def least_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str)
     gone = checkpointed(gone.select(F.col("id").alias("__id"), F.col("h").alias("__gone")).distinct())
     hashed, marks = docs.withColumn("__h", F.xxhash64(text_col)), gone.select(F.col("__gone").alias("__h"))
     # Most rows are surely not among those that go, and aren't moved.
-    rest = maybe_in(hashed, "__h", marks).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__gone")), "left_anti")
+    rest = maybe_in(hashed, "__h", marks).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__gone")), "left")
+    rest = rest.filter("__gone is null").drop("__id", "__gone")  # Spark would move an anti-join below the bitmap's
     out = maybe_in(hashed, "__h", marks, others=True).unionByName(rest)
     if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
         out = out.dropDuplicates([id_col, "__h"])
