@@ -217,13 +217,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     All columns stay; `n_chars`, where there is one, is counted anew. Documents that lose no line are as they were.
     """
     gone = kept(removed_lines(docs, id_col, text_col, **how))
-    joined = _marked(docs.withColumn("__hash", F.xxhash64(text_col)), gone, id_col)
+    # Documents that surely lose no line aren't moved.
+    hashed, marks = docs.withColumns({"__of": F.xxhash64(id_col), "__hash": F.xxhash64(text_col)}), gone.select(F.xxhash64("id").alias("__of"))
+    joined = _marked(maybe_in(hashed, "__of", marks), gone, id_col)
     left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
     out = joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(left))
     out = out.filter(F.col("__removed").isNull() | F.col(text_col).rlike(r"[^ \t-\r]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    return maybe_in(hashed, "__of", marks, others=True).select(docs.columns).unionByName(out.select(docs.columns))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
