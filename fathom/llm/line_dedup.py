@@ -116,7 +116,7 @@ def _suspects(lines: DataFrame, index: DataFrame) -> DataFrame:
     shared = kept(listed.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a <> b").select("token"))
     # Inner joins, as Spark would move a semi-join below the bitmap's.
     suspect = kept(maybe_in(listed, "token", shared).join(shared, "token").select("k").distinct())
-    pair = kept(maybe_in(index.select("k", "k2"), "k", suspect).join(suspect, "k").distinct())
+    pair = kept(maybe_in(index.select("k", "k2"), "k", suspect).distinct().join(suspect, "k"))  # a line's copies meet before the join
     keyed = lines.select(F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), "id", "row", "line", "body")
     folded = maybe_in(keyed, "k", suspect).groupBy("k", "k2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.any_value("body").alias("body"))
     return kept(folded.join(pair, ["k", "k2"]))
