@@ -29,6 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the smallest id: 0.8 or more of five-word shingles shared.
 
+    SimHash finds the near pairs, their shingles confirm them; an exact join finds those whose fingerprints lie too far apart.
     Null, empty and wordless texts are one group. Unlike texts of one id are documents of their own.
     """
     return near_documents.one_of_each(docs)

@@ -25,7 +25,9 @@ from .common import picked
 #: Characters of a chunk, and by how many it reaches into the next; both in code points.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Pieces whose ids a task remembers before it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
+#: Rows whose ids are held at once.
+ROWS = 256
 
 
 class Codec(dict):
@@ -97,6 +99,12 @@ class Codec(dict):
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 @cache
 def codec(path: str, pattern: str) -> Codec:
     """One for each Python worker."""
@@ -124,7 +132,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             out = [c.encode(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "ids"])
 
@@ -187,7 +195,7 @@ def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.append_column("bytes", pa.array([c.decode(i.as_py()) for i in batch.column("ids")], pa.binary()))
 
     return tokens.mapInArrow(work, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in tokens.schema)}, bytes binary")
@@ -200,7 +208,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             ids = [i.as_py() for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(c.decode(i)).hexdigest() for i in ids], pa.string())],

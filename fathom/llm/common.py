@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1 << 17
 #: Bits of a bitmap of hashes: it is broadcast, as 8 MB at most.
 BITMAP = 1 << 26
+#: Spark's switch for deleting a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -38,10 +40,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept as a Parquet table in the shared checkpoint folder: smaller than a checkpoint, and columns can be left out in reading."""
-    path = f"{scratch(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` computed once and kept as a Parquet table in the shared checkpoint folder: smaller than a checkpoint, and columns can be left out in reading.
+
+    Its shuffle files go as soon as it is written, and not when the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path, cleanup = f"{scratch(spark)}/kept-{uuid.uuid4().hex}", spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, cleanup)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what `kept` wrote for these tables, once nothing is to read them any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.kept_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, kept, maybe_in
+from .common import documents, dropped, kept, maybe_in
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Lines under one token that are still paired; above it the semi-join takes over.
@@ -119,7 +119,9 @@ def _suspects(lines: DataFrame, index: DataFrame) -> DataFrame:
     pair = kept(maybe_in(index.select("k", "k2"), "k", suspect).distinct().join(suspect, "k"))  # a line's copies meet before the join
     keyed = lines.select(F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), "id", "row", "line", "body")
     folded = maybe_in(keyed, "k", suspect).groupBy("k", "k2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.any_value("body").alias("body"))
-    return kept(folded.join(pair, ["k", "k2"]))
+    found = kept(folded.join(pair, ["k", "k2"]))
+    dropped(shared, suspect, pair)
+    return found
 
 
 def _similar(a: str, b: str, similarity: float) -> Column:
@@ -162,16 +164,19 @@ def _near(lines: DataFrame, shingle: int, similarity: float, crowd: int) -> Data
     ranked = ranked.select("k", "k2", "first", F.size("ranked").alias("n"), F.slice("ranked", F.lit(1), _prefix(F.size("ranked"), similarity)).alias("prefix"))
     listed = kept(ranked.select("k", "k2", "first", "n", F.posexplode_outer("prefix").alias("at", "token")))
     shared = kept(listed.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
-    listed = kept(maybe_in(listed, "token", shared).join(shared, "token"))
+    every, listed = listed, kept(maybe_in(listed, "token", shared).join(shared, "token"))
+    dropped(every, shared)
     leads = kept(listed.groupBy("token").agg(F.min(F.struct("first", "k", "k2", "n", "at")).alias("lead")))
     leads = leads.select("token", F.col("lead.k").alias("x"), F.col("lead.k2").alias("x2"), F.col("lead.n").alias("x_n"), F.col("lead.at").alias("x_at"))
     followers = listed.join(leads, "token").filter("k <> x or k2 <> x2")
     pairs = kept(followers.filter(_may_match(similarity)).select("k", "k2", "n", "x", "x2", "x_n").distinct())
     copies = kept(_verified(pairs, lines, shingle, similarity))
+    dropped(pairs)
     # The others, under tokens that hold more than them and the line just tried.
     rest = kept(followers.filter("df > 2").select("token", "df", "k", "k2", "first", "n", "at", "x", "x2").join(copies, ["k", "k2"], "left_anti"))
     earlier = listed.join(kept(rest.select("token").distinct()), "token")
-    earlier = kept(earlier.select("token", *(F.col(c).alias(f"x_{c}") for c in ("k", "k2", "first", "n", "at"))))
+    every, earlier = listed, kept(earlier.select("token", *(F.col(c).alias(f"x_{c}") for c in ("k", "k2", "first", "n", "at"))))
+    dropped(every)
     fits = (F.col("x_first") < F.col("first")) & ((F.col("x_k") != F.col("x")) | (F.col("x_k2") != F.col("x2"))) & _may_match(similarity)
     pairs = rest.filter(F.col("df") <= crowd).join(earlier, "token").filter(fits)
     few = kept(_verified(kept(pairs.select("k", "k2", "n", F.col("x_k").alias("x"), F.col("x_k2").alias("x2"), "x_n").distinct()), lines, shingle, similarity))
@@ -197,9 +202,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = F.struct("id", "row", "line")
     again = index.groupBy("k", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
     suspects = _suspects(lines, index)
-    near = _near(suspects, shingle, similarity, crowd).join(suspects, ["k", "k2"])
+    matched = _near(suspects, shingle, similarity, crowd)
+    near = matched.join(suspects, ["k", "k2"])
     doomed = again.select("k", "k2", "first", F.lit(False).alias("gone")).unionByName(near.select("k", "k2", "first", F.lit(True).alias("gone")))
     doomed = kept(doomed.groupBy("k", "k2").agg(F.any_value("first").alias("first"), F.max("gone").alias("gone")))
+    dropped(suspects)
     gone = maybe_in(index.select("k", "k2", "id", "row", "line"), "k", doomed).join(doomed, ["k", "k2"]).filter(F.col("gone") | ~at.eqNullSafe(F.col("first")))
     return gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 

@@ -1,10 +1,11 @@
-"""Near-duplicate documents by an exact set-similarity join: every pair counts, none is found by chance.
+"""Near-duplicate documents by SimHash, made whole by an exact set-similarity join: no pair is lost to chance.
 
 A document's tokens are its distinct shingles of `shingle` words (A-Z lower-cased; fewer words make one token of them all).
 Two documents are linked if the Jaccard similarity of their tokens is at least `similarity`, or if both have no word.
 
-1. Documents of equal token sets are one, under a hash of the set.
-2. Similar sets share a token of their prefixes, the first ``n - ceil(similarity * n) + 1`` of n tokens in any one order
+1. Documents of equal token sets are one, under a hash of the set. Each set has a SimHash of its tokens; fingerprints within
+   `bits` bits are found by `simhash.links`, and sets that it brings together are linked if their tokens are similar.
+2. The rest, similar sets whose fingerprints lie farther apart, is found exactly. Similar sets share a token of their prefixes, the first ``n - ceil(similarity * n) + 1`` of n tokens in any one order
    of all tokens: by how often the tokens of their hash bucket occur in all documents (a table of fixed size), then by
    hash. Only prefixes are kept. A set that shares no token of its prefix with a different set has no near-duplicate and is
    done.
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import vec
-from .common import BROADCAST_ROWS, checkpointed, connected_components, kept, maybe_in, picked, small
+from . import simhash, vec
+from .common import BROADCAST_ROWS, checkpointed, connected_components, dropped, kept, maybe_in, picked, small
 from .line_dedup import CROWD, _may_match
 from .simhash import least_of_each
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Differing bits of fingerprints that the SimHash search spans.
+BITS = 2
 #: Rounds of leaders under crowded tokens before their sets are paired.
 ROUNDS = 3
 #: Buckets of the table of token counts.
@@ -92,7 +95,7 @@ def token_levels(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, shingle: int, similarity: float, levels: np.ndarray) -> DataFrame:
-    """(id, h, key, n, prefix) of every row (id, text, h); equal sets have equal keys, and that of the empty set is 0."""
+    """(id, h, key, n, fp, prefix) of every row (id, text, h); equal sets have equal keys and fingerprints, and the empty set's are 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,10 +108,10 @@ def _sets(docs: DataFrame, shingle: int, similarity: float, levels: np.ndarray)
                 most = np.where(size > 0, size - np.ceil(size * similarity - 1e-9) + 1, 0).astype(np.int64)
                 inside = np.arange(len(row)) - ends[row] < most[row]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(most))), pa.int32()), pa.array(tokens[order][inside]))
-                arrays = [*(batch.column(c).slice(first, last - first) for c in ("id", "h")), pa.array(key), pa.array(size.astype(np.int32)), prefix]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "key", "n", "prefix"])
+                arrays = [*(batch.column(c).slice(first, last - first) for c in ("id", "h")), pa.array(key), pa.array(size.astype(np.int32)), pa.array(simhash.of_sets(ends, tokens)), prefix]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "key", "n", "fp", "prefix"])
 
-    return docs.mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, h long, key long, n int, prefix array<long>")
+    return docs.mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, h long, key long, n int, fp long, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -130,7 +133,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     pairs = kept(pairs)
     texts = kept(_texts(docs, sets, pairs.select("key").unionByName(pairs.select(F.col("x").alias("key")))))
     both = pairs.join(texts, "key").join(texts.select(F.col("key").alias("x"), F.col("text").alias("x_text")), "x")
-    return kept(both.select("key", "x", "text", "x_text").mapInArrow(work, "a long, b long"))
+    found = kept(both.select("key", "x", "text", "x_text").mapInArrow(work, "a long, b long"))
+    dropped(texts, pairs)
+    return found
 
 
 def _roots(links: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -190,10 +195,26 @@ def _texts(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
     return found.select("key", "text").dropDuplicates(["key"])  # rows may repeat an id and its text
 
 
-def links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
+def links_by_fingerprint(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bits: int = BITS) -> DataFrame:
+    """(a, b): the similar pairs of keys of `sets` that the SimHash search brings together.
+
+    Sets of one fingerprint are held against the first of them, and the firsts of fingerprints within `bits` bits against each
+    other. What is similar but has no such link, through other sets either, is left to the exact join.
+    """
+    prints = kept(sets.filter("n > 0").select("fp", "key").distinct())
+    first = kept(prints.groupBy("fp").agg(F.min("key").alias("x")))
+    near = kept(simhash.links(first, bits))
+    same = prints.join(first, "fp").filter("key <> x").select("key", "x")
+    across = near.join(first.select(F.col("fp").alias("a"), F.col("x").alias("key")), "a").join(first.select(F.col("fp").alias("b"), "x"), "b").select("key", "x")
+    found = _verified(same.unionByName(across), docs, sets, shingle, similarity)
+    dropped(prints, first, near)
+    return found
+
+
+def links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD, rounds: int = ROUNDS, bits: int = BITS) -> DataFrame:
     """(a, b): links that join exactly the keys of `sets` connected by similar pairs; not all such pairs."""
+    found = links_by_fingerprint(docs, sets, shingle, similarity, bits)
     listed = _suspects(sets)
-    found = sets.sparkSession.createDataFrame([], "a long, b long")
     for turn in range(rounds):
         listed = _open(listed, found)
         rows = listed if turn == 0 else listed.filter(F.col("df") > crowd)

@@ -46,6 +46,17 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones, bitorder="little").view("<u8")[0])
 
 
+def of_sets(ends: np.ndarray, hashes: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """The SimHash of each run of 64-bit `hashes`, from one of `ends` to the next: a bit is 1 if over half have it; none: 0."""
+    size = np.diff(ends)
+    row, ones = np.repeat(np.arange(len(size)), size), np.zeros((len(size), BITS), np.int32)
+    for at in range(0, len(row), block):
+        own = row[at : at + block]
+        first = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1))
+        ones[own[first]] += np.add.reduceat(unpacked(hashes[at : at + block]), first, axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, h, fp) for every row of `docs`: a hash of the text, and the fingerprint as a signed long."""
 

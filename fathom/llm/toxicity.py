@@ -51,7 +51,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return codes, ends, *runs(member, ends)
 
 
-def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Whole texts (null: empty) in runs of about `most` characters, with the row of the first."""
     start, held, size = 0, [], 0
     for t in column:
@@ -196,7 +196,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column("toxic").to_pylist()
-            for first, texts in text_slices(batch.column("text"), 1 << 22):
+            for first, texts in text_slices(batch.column("text"), 1 << 20):
                 held: dict[tuple[str, bool], list[int]] = {}
                 for label, text in zip(labels[first:], texts, strict=False):
                     codes, _, starts, stops, _ = words_of([text])

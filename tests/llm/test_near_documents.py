@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from fathom.llm import near_documents
+from fathom.llm import near_documents, simhash
 
 
 def brute(rows, shingle, similarity):
@@ -62,6 +63,30 @@ def test_stage_drops_planted_near_copies(spark):
     assert kept == {*range(20), *range(200, 220)} and kept == set(brute(rows, 5, 0.8).values())
 
 
+def test_simhash_links_near_copies_by_itself(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=1500))) for i in range(40)]
+    rows += [(100 + i, edited(rng, words, rows[i][1], 1 + i % 3)) for i in range(40)]
+    rows += [(200 + i, f"{rows[i][1]} {' '.join(rng.choices(words, k=200))}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 5, 0.8)
+    monkeypatch.setattr(near_documents, "_suspects", lambda sets: sets.sparkSession.createDataFrame([], "key long, n int, at int, token long"))
+    alone = {r.id: r.component for r in near_documents.near_duplicates(docs).collect()}
+    assert sum(alone[100 + i] == i for i in range(40)) >= 20  # the others' fingerprints lie farther apart
+    assert all(alone[i] in (i, want[i]) for i in alone)
+    # Fingerprints that are near by chance link nothing: no set of 0.99 is among these.
+    assert all(r.id == r.component for r in near_documents.near_duplicates(docs.filter("doc_id < 140"), similarity=0.9999).collect())
+
+
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(1)
+    hashes, ends = rng.integers(-(2**63), 2**63 - 1, 90), np.array([0, 0, 1, 3, 60, 90, 90])
+    want = [sum((int((h >> b & 1).sum()) * 2 > len(h)) << b for b in range(64)) for h in (hashes[a:b] for a, b in zip(ends, ends[1:], strict=False))]
+    for block in (7, 1 << 16):
+        assert simhash.of_sets(ends, hashes, block).view(np.uint64).tolist() == want
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c", "x"), (1, "a b c", "x"), (2, "d e", "y"), (2, "d e", "z"), (None, "q r s", "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
