@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1 << 17
 #: Bits of a bitmap of hashes: it is broadcast, as 8 MB at most.
 BITMAP = 1 << 26
+#: Rows of a batch that goes to Python, where several operators share a session.
+BATCH_ROWS = 1000
 #: Spark's switch for deleting a query's shuffle files when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -82,6 +84,13 @@ def maybe_in(rows: DataFrame, column: str, values: DataFrame, others: bool = Fal
     return joined.filter(~hit if others else hit).select(rows.columns)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches of at most BATCH_ROWS rows go to the session's Python workers, which keep the memory of their largest batch."""
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(most)) <= BATCH_ROWS:
+        spark.conf.set(most, BATCH_ROWS)
+
+
 def picked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under the names that the operators use; other columns can't clash."""
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -1,6 +1,7 @@
 """Line dedup, packing, page text and the pipeline: brute force, round trips, and rows of every odd kind."""
 
 import hashlib
+import os
 import random
 from collections import defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathom.llm import html_text, line_dedup, packing, toxicity
+from fathom.llm import common, html_text, line_dedup, packing, toxicity
 from fathom.llm.bpe import Codec
 
 ODD = [(None, "a b c d e f g", "x", 1), (1, None, "b", 2), (2, "", "c", 3), (3, "  \n\t ", "d", 4), (4, "one two three four five", "e", 5), (4, "one two three four five", "e", 5), (5, "word " * 30_000, "f", 6)]
@@ -77,6 +78,23 @@ def test_short_lines_and_the_query_on_odd_rows(spark, tmp_path):
     assert got == [(0, 1, 0, ""), (0, 2, 0, ""), (3, 3, 2, "0,2"), (5, 1, 1, "0"), (6, 0, 0, ""), (6, 3, 0, "")]
 
 
+def test_pipeline_sends_small_batches_to_python(spark):
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame(ODD, NAMES)
+    for given, want in (("10000", 1000), ("0", 1000), ("50", 50)):
+        spark.conf.set(name, given)
+        assert corpus_pipeline.tokenise(spark, docs, "").count() == len(ODD) and int(spark.conf.get(name)) == want
+    spark.conf.unset(name)
+
+
+def test_kept_leaves_no_shuffle_files_and_dropped_no_table(spark):
+    before = spark.conf.get(common.SHUFFLE_CLEANUP)
+    table = common.kept(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    path = table.kept_at.removeprefix("file:")
+    assert table.count() == 7 and os.path.isdir(path) and spark.conf.get(common.SHUFFLE_CLEANUP) == before
+    common.dropped(table)
+    assert not os.path.exists(path)
+
+
 def test_packing_is_whole_and_best_fit(spark):
     rng = random.Random(2)
     sizes = [rng.randint(1, 32) for _ in range(300)]
