@@ -208,7 +208,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doomed = kept(doomed.groupBy("k", "k2").agg(F.any_value("first").alias("first"), F.max("gone").alias("gone")))
     dropped(suspects)
     gone = maybe_in(index.select("k", "k2", "id", "row", "line"), "k", doomed).join(doomed, ["k", "k2"]).filter(F.col("gone") | ~at.eqNullSafe(F.col("first")))
-    return gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    found = kept(gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    dropped(index, doomed)
+    return found
 
 
 def _marked(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
@@ -223,7 +225,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     All columns stay; `n_chars`, where there is one, is counted anew. Documents that lose no line are as they were.
     """
-    gone = kept(removed_lines(docs, id_col, text_col, **how))
+    gone = removed_lines(docs, id_col, text_col, **how)
     # Documents that surely lose no line aren't moved.
     hashed, marks = docs.withColumns({"__of": F.xxhash64(id_col), "__hash": F.xxhash64(text_col)}), gone.select(F.xxhash64("id").alias("__of"))
     joined = _marked(maybe_in(hashed, "__of", marks), gone, id_col)
@@ -239,7 +241,7 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers of the removed lines, comma-joined."""
     n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
     docs = documents(spark, sf_dir)
-    gone = kept(removed_lines(docs))
+    gone = removed_lines(docs)
     return _marked(docs.select("doc_id", n_lines.alias("n_lines"), F.xxhash64("text").alias("__hash")), gone, "doc_id").select(
         "doc_id", "n_lines", F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join("__removed", ","), F.lit("")).alias("removed"),

@@ -78,6 +78,21 @@ def test_short_lines_and_the_query_on_odd_rows(spark, tmp_path):
     assert got == [(0, 1, 0, ""), (0, 2, 0, ""), (3, 3, 2, "0,2"), (5, 1, 1, "0"), (6, 0, 0, ""), (6, 3, 0, "")]
 
 
+def test_removed_lines_leave_no_large_table_behind(spark, monkeypatch):
+    held = {}
+
+    def watched(df):
+        out = common.kept(df)
+        held[out.kept_at.removeprefix("file:")] = df.columns
+        return out
+
+    monkeypatch.setattr(line_dedup, "kept", watched)
+    docs = spark.createDataFrame([(1, "a b c d e f g h\nx"), (2, "a b c d e f g h i\ny")], "doc_id long, text string")
+    assert line_dedup.removed_lines(docs).count() == 1
+    left = [columns for path, columns in held.items() if os.path.isdir(path)]
+    assert ["id", "row", "removed"] in left and not any({"body", "prefix", "gone"} & set(columns) for columns in left)
+
+
 def test_pipeline_sends_small_batches_to_python(spark):
     name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame(ODD, NAMES)
     for given, want in (("10000", 1000), ("0", 1000), ("50", 50)):
