@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -121,23 +121,36 @@ def boundaries(c: Codec, text: str, start: int) -> list[int]:
     return [*at, start + len(text)]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(id, row, ids) for every row of `docs`: ids are little-endian unsigned 32-bit, the same that the whole text gives.
+def _as_ids(c: Codec, ids: list[bytes]) -> list[pa.Array]:
+    return [pa.array(ids, pa.binary())]
+
+
+def _as_digests(c: Codec, ids: list[bytes]) -> list[pa.Array]:
+    return [
+        pa.array([len(i) // 4 for i in ids], pa.int64()),
+        pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+        pa.array([hashlib.sha256(c.decode(i)).hexdigest() for i in ids], pa.string()),
+    ]
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, made_of: Callable[[Codec, list[bytes]], list[pa.Array]] = _as_ids, columns: str = "ids binary") -> DataFrame:
+    """(id, ids) for every row of `docs`: ids are little-endian unsigned 32-bit, the same that the whole text gives.
 
     Null and empty texts have no ids. Texts of more than `chunk` code points are encoded chunk by chunk on different
     tasks: each task encodes what its chunk surely owns and hands over the boundaries of its overlaps.
+    In place of ids come the `columns` that `made_of` makes of them in the same Python worker; a step of its own would need a second worker for each task.
     """
-    chosen = picked(docs, id_col, text_col)
+    chosen, names = picked(docs, id_col, text_col), ["id", *(c.split()[0] for c in columns.split(", "))]
     kind = chosen.schema["id"].dataType.simpleString()
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in parts(batches):
             out = [c.encode(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *made_of(c, out)], names)
 
     size = F.length(F.coalesce("text", F.lit("")))
-    whole = chosen.filter(size <= chunk).mapInArrow(short, f"id {kind}, ids binary")
+    whole = chosen.filter(size <= chunk).mapInArrow(short, f"id {kind}, {columns}")
     cuts = chosen.filter(size > chunk).select(
         "id", F.xxhash64("text").alias("h"), F.length("text").alias("n"),
         F.posexplode(F.expr(f"transform(sequence(0, length(text) - 1, {chunk}), s -> substring(text, s + 1, {chunk + overlap}))")).alias("k", "part"),
@@ -185,9 +198,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 break
             ids += r["ids"][begin : shared[0]]
             begin = shared[1]
-        return pa.table({"id": pa.array([rows[0]["id"]] * copies, table.schema.field("id").type), "ids": pa.array([ids] * copies, pa.binary())})
+        return pa.table([pa.array([rows[0]["id"]] * copies, table.schema.field("id").type), *made_of(codec(path, pattern), [ids] * copies)], names)
 
-    return whole.unionByName(made.groupBy("id", "h").applyInArrow(join, f"id {kind}, ids binary"))
+    return whole.unionByName(made.groupBy("id", "h").applyInArrow(join, f"id {kind}, {columns}"))
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -203,19 +216,7 @@ def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row: encodes, decodes and hashes."""
-    tokens = encoded(docs, path, pattern, id_col, text_col, chunk, overlap)
-    kind = tokens.schema["id"].dataType.simpleString()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in parts(batches):
-            ids = [i.as_py() for i in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(c.decode(i)).hexdigest() for i in ids], pa.string())],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return tokens.mapInArrow(work, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded(docs, path, pattern, id_col, text_col, chunk, overlap, _as_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

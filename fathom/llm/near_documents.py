@@ -6,7 +6,7 @@ Two documents are linked if the Jaccard similarity of their tokens is at least `
 1. Documents of equal token sets are one, under a hash of the set. Each set has a SimHash of its tokens; fingerprints within
    `bits` bits are found by `simhash.links`, and sets that it brings together are linked if their tokens are similar.
 2. The rest, similar sets whose fingerprints lie farther apart, is found exactly. Similar sets share a token of their prefixes, the first ``n - ceil(similarity * n) + 1`` of n tokens in any one order
-   of all tokens: by how often the tokens of their hash bucket occur in all documents (a table of fixed size), then by
+   of all tokens: by how rare their words are together, as the words of their hash buckets occur in all documents (a table of fixed size), then by
    hash. Only prefixes are kept. A set that shares no token of its prefix with a different set has no near-duplicate and is
    done.
 3. Under each shared token every set is verified against one leader, so that copies of an original are linked by as
@@ -35,11 +35,15 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS = 2
 #: Rounds of leaders under crowded tokens before their sets are paired.
 ROUNDS = 3
-#: Buckets of the table of token counts.
+#: Buckets of the table of word counts.
 BUCKETS = 1 << 17
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Without counts all tokens are as rare.
+ANY = np.zeros(BUCKETS, np.int64)
+
+
 def _windows(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """A hash of the `width` words from each place of `at` on."""
     out = np.full(len(at), width, np.uint64)
@@ -48,49 +52,56 @@ def _windows(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def token_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole rows: (first row, row after the last, offsets, tokens); a row's tokens are distinct and rise."""
+def token_sets(column: pa.Array, shingle: int, levels: np.ndarray = ANY) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of whole rows: (first row, row after the last, offsets, tokens, ranks); a row's tokens are distinct and rise.
+
+    A token's rank is the sum of its words' `levels`.
+    """
     for first, last, data, ends in vec.slices(column):
         data = vec.LOWER[data]
         starts, stops, row = vec.runs(vec.GRAPH[data], ends)
         hashes = vec.run_hashes(data, starts, stops)
         words = np.bincount(row, minlength=last - first)
         begin = np.cumsum(words) - words
-        tokens, rows = [], []
+        level = np.concatenate(([0], np.cumsum(levels[_buckets(hashes)])))
+        tokens, ranks, rows = [], [], []
         for width in range(1, shingle + 1):
             if width < shingle:
                 at = begin[words == width]
             else:
                 at = np.flatnonzero(np.arange(len(row)) + width <= (begin + words)[row])
             tokens.append(_windows(hashes, at, width))
+            ranks.append(level[at + width] - level[at])
             rows.append(row[at])
-        token, owner = np.concatenate(tokens).view(np.int64), np.concatenate(rows)
+        token, rank, owner = np.concatenate(tokens).view(np.int64), np.concatenate(ranks), np.concatenate(rows)
         order = np.lexsort((token, owner))
-        token, owner = token[order], owner[order]
+        token, rank, owner = token[order], rank[order], owner[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner = token[new], owner[new]
-        yield first, last, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=last - first)))), token
+        token, rank, owner = token[new], rank[new], owner[new]
+        yield first, last, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=last - first)))), token, rank
 
 
-def _buckets(tokens: np.ndarray) -> np.ndarray:
-    return (tokens.view(np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def token_levels(docs: DataFrame, shingle: int) -> np.ndarray:
-    """How frequent the tokens of each hash bucket are in all texts: the number of binary digits of their documents' count."""
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """How frequent the words of each hash bucket are in all texts: the logarithm of their count, four steps to the double."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _, _, _, tokens in token_sets(batch.column(0), shingle):
-                total += np.bincount(_buckets(tokens), minlength=BUCKETS)
+            for _, _, data, ends in vec.slices(batch.column(0)):
+                data = vec.LOWER[data]
+                starts, stops, _ = vec.runs(vec.GRAPH[data], ends)
+                total += np.bincount(_buckets(vec.run_hashes(data, starts, stops)), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "n"])
 
     counts = docs.select("text").mapInArrow(work, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     levels = np.zeros(BUCKETS, np.int64)
-    levels[counts.column("b").to_numpy()] = np.frexp(counts.column("n").to_numpy().astype(float))[1]
+    levels[counts.column("b").to_numpy()] = np.rint(4 * np.log2(1.0 + counts.column("n").to_numpy()))
     return levels
 
 
@@ -99,12 +110,12 @@ def _sets(docs: DataFrame, shingle: int, similarity: float, levels: np.ndarray)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, ends, tokens in token_sets(batch.column("text"), shingle):
+            for first, last, ends, tokens, ranks in token_sets(batch.column("text"), shingle, levels):
                 size = np.diff(ends)
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(vec.mix(tokens.view(np.uint64) ^ STEP))))
                 key = vec.mix(total[ends[1:]] - total[ends[:-1]]).view(np.int64)
                 row = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((tokens, levels[_buckets(tokens)], row))
+                order = np.lexsort((tokens, ranks, row))
                 most = np.where(size > 0, size - np.ceil(size * similarity - 1e-9) + 1, 0).astype(np.int64)
                 inside = np.arange(len(row)) - ends[row] < most[row]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(most))), pa.int32()), pa.array(tokens[order][inside]))
@@ -118,7 +129,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     """(a, b): the distinct (key, x) pairs of `sets` that are similar; only their texts are fetched from `docs`."""
 
     def each(column: pa.Array) -> list[np.ndarray]:
-        return [t for _, _, ends, tokens in token_sets(column, shingle) for t in np.split(tokens, ends[1:-1])]
+        return [t for _, _, ends, tokens, _ in token_sets(column, shingle) for t in np.split(tokens, ends[1:-1])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +243,7 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE, similarity:
 def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, how: dict) -> DataFrame:
     """(id, h, root, component): a hash of the text; the root names the component among token sets, the other among ids."""
     docs = picked(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    sets = kept(_sets(docs, shingle, similarity, token_levels(docs, shingle)))
+    sets = kept(_sets(docs, shingle, similarity, word_levels(docs)))
     distinct = kept(sets.groupBy("key").agg(F.min("id").alias("least")))
     roots = _roots(links(docs, sets, shingle, similarity, **how))
     rooted = kept(distinct.join(roots, distinct["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root")))

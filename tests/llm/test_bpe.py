@@ -50,3 +50,9 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     tokens = reference()
     assert sorted((str(r.id), bytes(r.ids)) for r in got) == sorted((str(i), np.array(tokens.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in rows)
     assert B.digests(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).count() == 0
+
+
+def test_digests_take_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c " * 70_000)], "doc_id long, text string")
+    plan = B.digests(docs, PATH, P.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # short texts, and the chunks of long ones

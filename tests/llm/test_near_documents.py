@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -79,6 +80,18 @@ def test_simhash_links_near_copies_by_itself(spark, monkeypatch):
     assert all(r.id == r.component for r in near_documents.near_duplicates(docs.filter("doc_id < 140"), similarity=0.9999).collect())
 
 
+def test_prefixes_are_of_rare_words_though_all_shingles_are_rare(spark):
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join([*rng.choices(common, k=30), f"rare{i}", *rng.choices(common, k=30)])) for i in range(50)]
+    docs = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "xxhash64(text) as h")
+    sets = near_documents._sets(docs, 5, 0.8, near_documents.word_levels(docs)).collect()
+    for r in sets:
+        w = dict(rows)[r.id].split()
+        around = pa.array([" ".join(w[i : i + 5]) for i in range(26, 31)])
+        assert {int(t) for _, _, _, tokens, _ in near_documents.token_sets(around, 5) for t in tokens} <= set(r.prefix[:5])
+
+
 def test_fingerprints_of_sets():
     rng = np.random.default_rng(1)
     hashes, ends = rng.integers(-(2**63), 2**63 - 1, 90), np.array([0, 0, 1, 3, 60, 90, 90])
