@@ -77,10 +77,14 @@ def maybe_in(rows: DataFrame, column: str, values: DataFrame, others: bool = Fal
     """
     place = F.pmod(column, F.lit(BITMAP))
     bits = values.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("__bit"))
-    bitmap = kept(bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bitmap")))
-    joined = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(place) == F.col("__bucket"), "left" if others else "inner").withColumn("__bit", F.bitmap_bit_position(place))
-    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False))
+    # As longs, which a probe reads one by one; of a binary it would copy all.
+    made = bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bytes"))
+    longs = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("__bytes", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    bitmap = kept(made.select("__bucket", longs.alias("__bitmap")))
+    joined = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(place) == F.col("__bucket"), "left" if others else "inner")
+    bit = F.bitmap_bit_position(place).cast("int")
+    word = F.get("__bitmap", F.shiftright(bit, 6))
+    hit = F.coalesce(F.getbit(word, 56 - F.shiftright(bit, 3) % 8 * 8 + bit % 8) == 1, F.lit(False))
     return joined.filter(~hit if others else hit).select(rows.columns)
 
 

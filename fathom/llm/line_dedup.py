@@ -7,25 +7,28 @@ line, by (document id, line number), matches it. Lines without a word are left a
 Lines that match share a token of their prefixes, the first ``n - ceil(similarity * n) + 1`` of n tokens in any one order
 of all tokens.
 
-1. Every line lists a superset of its prefix in the order of the tokens' first words' hashes, without hashing its other
-   tokens. Tokens that only equal lines list are done with, and so are the lines, most of all, that list no other. What is
+1. Tokens are ordered by how rare their first words are (counts of all words by hash bucket, a table of fixed size), then by the
+   words' hashes. Every line lists a superset of its prefix: the tokens whose first words are among the least, without hashing
+   the others. Tokens that only equal lines list are done with, and so are the lines, most of all, that list no other. What is
    left are the suspects; equal lines are folded into the earliest of them.
-2. The suspects get all their tokens, in the order of their rarity: by how often the tokens of their hash bucket occur on
-   suspects (a table of fixed size), then by hash. Each is verified against the earliest line under each token of
-   its prefix, where the length and positional filters let them match; that finds copies of an original whatever
-   their number. Only suspects without such a match are held against all earlier lines under their tokens: as pairs
-   that pass the same filters, or, under tokens that more than `crowd` lines list, by a semi-join that stops at the
-   first match.
+2. Each suspect is held against the earliest line under each token that it lists; that finds copies of an original whatever
+   their number. Only suspects without such a match are held against all earlier lines under their tokens: as pairs,
+   or, under tokens that more than `crowd` lines list, by a semi-join that stops at the first match. Pairs are verified
+   if they share enough of the listed tokens: of two lines that match, the one whose list ends first shares all but its
+   other tokens within both lists.
 
 Only suspects' texts and rows of shared tokens are shuffled, as far as bitmaps of fixed size over their hashes tell them from others;
 what a bitmap lets through is joined exactly after it. Lines are told apart by 128 bits of hash.
 
+Words are hashed in lambdas, which Spark interprets, but tokens of the lists in rows of their own, which it compiles.
 The optimiser copies the definition of what an inner `explode` unfolds, or a filter asks of a computed column, into filters
 below, where token lists would be made anew for each word. So `explode_outer` is used, and verdicts are aggregated.
 """
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ from .common import documents, dropped, kept, maybe_in
 SHINGLE, SIMILARITY = 5, 0.8
 #: Lines under one token that are still paired; above it the semi-join takes over.
 CROWD = 64
-#: Buckets of the table of token counts; a power of two.
+#: Buckets of the table of word counts; a power of two.
 BUCKETS = 1 << 17
 #: White space besides the blank and the line's end.
 OTHER_SPACE = "\t\v\f\r"
@@ -47,11 +50,17 @@ def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select("id", (F.lit(0).cast("long") if once else F.xxhash64("text")).alias("row"), "text")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(id, row, line, body): the lines that hold a word, lower-cased, with the blank as their only white space."""
+def _spaced(others: str = OTHER_SPACE) -> Column:
+    """The text, lower-cased, with blanks for `others`."""
     text = F.lower("text")
-    for c in OTHER_SPACE:
+    for c in others:
         text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(id, row, line, body): the lines that hold a word, lower-cased, with the blank as their only white space."""
+    text = _spaced()
     return docs.select("id", "row", F.posexplode_outer(F.split(text, "\n")).alias("line", "body")).filter(F.ltrim("body") != "")
 
 
@@ -59,69 +68,84 @@ def _words(lines: DataFrame) -> DataFrame:
     return lines.withColumn("words", F.array_remove(F.split("body", " "), ""))
 
 
-def _window(at: Column, shingle: int) -> Column:
-    """The hash of the shingle of `words` that begins there; words past the end count as none."""
-    return F.xxhash64(*(F.get("words", at + j) for j in range(shingle)))
-
-
-def _tokens(shingle: int, words: str = "words") -> Column:
-    """The distinct tokens of `words`, in one pass."""
-    openings = F.expr(f"slice({words}, 1, greatest(size({words}) - {shingle - 1}, 1))")
-    return F.array_distinct(F.transform(openings, lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, shingle)))))
+def _with_distinct(rows: DataFrame, shingle: int, words: str = "words", tokens: str = "tokens") -> DataFrame:
+    """`rows` with the distinct tokens of `words`: hashes of runs of 1, 2, 4, ... words, each made of two, are put together.
 
-
-def token_levels(lines: DataFrame, shingle: int = SHINGLE, buckets: int = BUCKETS) -> list[int]:
-    """How frequent the tokens of each hash bucket are on all `lines` (body): the number of binary digits of their count."""
-    last = F.expr(f"greatest(size(words) - {shingle}, 0)")
-    at = _words(lines.select("body")).select("words", F.explode_outer(F.sequence(F.lit(0), last)).alias("at"))
-    counts = at.groupBy(_window(F.col("at"), shingle).bitwiseAND(buckets - 1).alias("b")).agg(F.count("*").alias("n")).toArrow()
+    Each array is a column that is named twice: so it is worked out once a row.
+    """
+    rows = rows.withColumn("__runs", F.transform(words, lambda w: F.xxhash64(w)))
+    made, done = None, 0
+    for bit in range(shingle.bit_length()):
+        if shingle >> bit & 1:
+            rows = rows.withColumn("__made", F.col("__runs") if made is None else _joined("__made", "__runs", done))
+            made, done = "__made", done + (1 << bit)
+        if shingle >> bit + 1:
+            rows = rows.withColumn("__runs", _joined("__runs", "__runs", 1 << bit))
+    count = F.greatest(F.size(words) - (shingle - 1), F.lit(1))
+    return rows.withColumn(tokens, F.array_distinct(F.slice("__made", F.lit(1), count))).drop("__runs", "__made")
+
+
+def _joined(runs: str, after: str, by: int) -> Column:
+    return F.zip_with(runs, F.slice(after, F.lit(by + 1), F.size(after)), lambda a, b: F.xxhash64(a, b))
+
+
+def word_levels(docs: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """How frequent the words of each hash bucket are in all texts: the logarithm of their count, two steps to the double."""
+    words = docs.select(F.explode_outer(F.split(_spaced(OTHER_SPACE + "\n"), " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(buckets - 1).alias("b")).agg(F.count("*").alias("n")).toArrow()
     levels = [0] * buckets
     for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
-        levels[b] = n.bit_length()
+        levels[b] = round(2 * log2(1 + n))
     return levels
 
 
-def _by_rarity(tokens: Column, levels: list[int]) -> Column:
-    """Tokens as numbers in the order of their rarity: the level, then 56 bits of the hash."""
+def _by_rarity(hashes: Column, levels: list[int]) -> Column:
+    """Words' hashes as numbers in the order of their rarity: the level, then 56 bits of the hash."""
     table = F.lit(bytearray(levels))  # one byte a bucket; a list of numbers takes Spark long to plan with
 
-    def ranked(t: Column) -> Column:
-        level = F.ascii(F.substring(table, t.bitwiseAND(len(levels) - 1).cast("int") + 1, 1).cast("string"))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
+    def ranked(h: Column) -> Column:
+        level = F.ascii(F.substring(table, h.bitwiseAND(len(levels) - 1).cast("int") + 1, 1).cast("string"))
+        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.transform(tokens, ranked))
+    return F.transform(hashes, ranked)
 
 
 def _prefix(n: Column, similarity: float) -> Column:
     return (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
 
 
-def _index(lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, row, line, k, k2, prefix): two hashes of every line, and the hashes of its listed tokens; some may be null.
+def _index(lines: DataFrame, shingle: int, similarity: float, levels: list[int]) -> DataFrame:
+    """(id, row, line, k, k2, token): a row for every token that a line lists. The first row of a line has its place and its
+    second hash, and may have no token; in the others only the hash and the token are set.
 
-    The first p distinct tokens begin with no more than the p smallest first words, so the tokens of those are listed.
+    The first p distinct tokens begin with no more than the p least first words, so the tokens of those are listed.
     """
     hashed = lines.select("id", "row", "line", F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), F.transform(F.array_remove(F.split("body", " "), ""), lambda w: F.xxhash64(w)).alias("hashes"))
     opening = F.expr(f"slice(hashes, 1, greatest(size(hashes) - {shingle - 1}, 1))")
-    last = F.get(F.sort_array(F.array_distinct(opening)), _prefix(F.size(opening), similarity) - 1)
-    bounded = hashed.withColumn("upto", F.coalesce(last, F.lit((1 << 63) - 1)))
-    # `upto` is named twice: so it is worked out once a line and not once a word.
-    listed = F.transform(opening, lambda h, i: F.when((h < F.col("upto")) | (h == F.col("upto")), F.xxhash64(*(F.get("hashes", i + j) for j in range(shingle)))))
-    return bounded.select("id", "row", "line", "k", "k2", F.array_distinct(listed).alias("prefix"))
-
-
-def _suspects(lines: DataFrame, index: DataFrame) -> DataFrame:
-    """(k, k2, first, body) of the different lines that share a listed token with a line of another hash."""
-    listed = index.select("k", F.explode_outer("prefix").alias("token")).filter("token is not null")
+    keyed = hashed.withColumn("keys", _by_rarity(opening, levels))
+    last = F.get(F.sort_array(F.array_distinct("keys")), _prefix(F.size("keys"), similarity) - 1)
+    keyed = keyed.withColumn("upto", F.coalesce(last, F.lit((1 << 63) - 1)))
+    each = keyed.select("id", "row", "line", "k", "k2", "hashes", "upto", F.posexplode_outer("keys").alias("at", "key")).filter("at = 0 or key <= upto")
+    first = F.col("at") == 0
+    token = F.when(F.col("key") <= F.col("upto"), F.xxhash64(*(F.get("hashes", F.col("at") + j) for j in range(shingle))))
+    return each.select(*(F.when(first, F.col(c)).alias(c) for c in ("id", "row", "line")), "k", F.when(first, F.col("k2")).alias("k2"), token.alias("token"))
+
+
+def _suspects(lines: DataFrame, index: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(k, k2, first, n, body) of the different lines that list a token with a line of another hash, n counts their tokens;
+    (k, token): those that they list."""
+    listed = index.filter("token is not null").select("k", "token")
     shared = kept(listed.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a <> b").select("token"))
     # Inner joins, as Spark would move a semi-join below the bitmap's.
-    suspect = kept(maybe_in(listed, "token", shared).join(shared, "token").select("k").distinct())
-    pair = kept(maybe_in(index.select("k", "k2"), "k", suspect).distinct().join(suspect, "k"))  # a line's copies meet before the join
+    rows = kept(maybe_in(listed, "token", shared).distinct().join(shared, "token").select("k", "token"))
+    suspect = kept(rows.select("k").distinct())
+    pair = kept(maybe_in(index.filter("line is not null").select("k", "k2"), "k", suspect).distinct().join(suspect, "k"))  # a line's copies meet before the join
     keyed = lines.select(F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), "id", "row", "line", "body")
     folded = maybe_in(keyed, "k", suspect).groupBy("k", "k2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.any_value("body").alias("body"))
-    found = kept(folded.join(pair, ["k", "k2"]))
+    found = _words(folded.join(pair, ["k", "k2"]))
+    found = kept(_with_distinct(found, shingle).select("k", "k2", "first", F.size("tokens").alias("n"), "body"))
     dropped(shared, suspect, pair)
-    return found
+    return found, rows
 
 
 def _similar(a: str, b: str, similarity: float) -> Column:
@@ -131,14 +155,29 @@ def _similar(a: str, b: str, similarity: float) -> Column:
 
 
 def _may_match(similarity: float) -> Column:
-    """The length and positional filters: whether lines of n and x_n tokens that share their at-th and x_at-th may match."""
+    """The length and positional filters: whether sets of n and x_n tokens that share their at-th and x_at-th may match."""
     most = F.least("x_at", "at") + F.least(F.col("x_n") - F.col("x_at"), F.col("n") - F.col("at"))
-    return (F.least("x_n", "n") >= F.greatest("x_n", "n") * similarity - 1e-9) & (most >= (F.col("x_n") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9)
+    return _alike_in_length(similarity) & (most >= (F.col("x_n") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def _alike_in_length(similarity: float) -> Column:
+    return F.least("x_n", "n") >= F.greatest("x_n", "n") * similarity - 1e-9
+
+
+def _sharing(rows: DataFrame, similarity: float, spare: DataFrame | None = None) -> DataFrame:
+    """(k, k2, n, x, x2, x_n): the pairs of `rows` (one for each listed token that both have) that share enough of them;
+    `spare` (k, k2, spare) counts the tokens of a line that have no rows."""
+    pairs = rows.groupBy("k", "k2", "n", "x", "x2", "x_n").agg(F.count("*").alias("both"))
+    if spare is not None:
+        pairs = pairs.join(spare, ["k", "k2"], "left").withColumn("both", F.col("both") + F.coalesce("spare", F.lit(0)))
+    shared = F.ceil((F.col("n") + F.col("x_n")) * (similarity / (1 + similarity)) - 1e-9)
+    others = F.greatest(*(F.ceil(F.col(n) * similarity - 1e-9) - 1 for n in ("n", "x_n")))
+    return pairs.filter(F.col("both") >= shared - others).select("k", "k2", "n", "x", "x2", "x_n")
 
 
 def _with_tokens(rows: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
     """`rows` (k, k2) with the tokens of their lines."""
-    return _words(rows.join(maybe_in(lines.select("k", "k2", "body"), "k", rows), ["k", "k2"])).withColumn("tokens", _tokens(shingle)).drop("body", "words")
+    return _with_distinct(_words(rows.join(maybe_in(lines.select("k", "k2", "body"), "k", rows), ["k", "k2"])), shingle).drop("body", "words")
 
 
 def _may_share(shingle: int, similarity: float) -> Column:
@@ -154,40 +193,41 @@ def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: floa
     lines = maybe_in(lines.select("k", "k2", "body"), "k", named)
     both = pairs.join(lines, ["k", "k2"]).join(lines.select(F.col("k").alias("x"), F.col("k2").alias("x2"), F.col("body").alias("x_body")), ["x", "x2"])
     both = _words(both).withColumn("x_words", F.array_remove(F.split("x_body", " "), "")).filter(_may_share(shingle, similarity))
-    tokens = both.select("k", "k2", _tokens(shingle).alias("tokens"), _tokens(shingle, "x_words").alias("x_tokens"))
+    both = both.select("k", "k2", "words", "x_words")
+    tokens = _with_distinct(_with_distinct(both, shingle), shingle, "x_words", "x_tokens").select("k", "k2", "tokens", "x_tokens")
     return tokens.groupBy("k", "k2").agg(F.bool_or(_similar("tokens", "x_tokens", similarity)).alias("any")).filter("any").select("k", "k2")
 
 
-def _near(lines: DataFrame, shingle: int, similarity: float, crowd: int) -> DataFrame:
-    """(k, k2): those of `lines` (k, k2, first, body) that some earlier one matches."""
-    ranked = _words(lines).select("k", "k2", "first", _by_rarity(_tokens(shingle), token_levels(lines, shingle)).alias("ranked"))
-    ranked = ranked.select("k", "k2", "first", F.size("ranked").alias("n"), F.slice("ranked", F.lit(1), _prefix(F.size("ranked"), similarity)).alias("prefix"))
-    listed = kept(ranked.select("k", "k2", "first", "n", F.posexplode_outer("prefix").alias("at", "token")))
-    shared = kept(listed.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
-    every, listed = listed, kept(maybe_in(listed, "token", shared).join(shared, "token"))
-    dropped(every, shared)
-    leads = kept(listed.groupBy("token").agg(F.min(F.struct("first", "k", "k2", "n", "at")).alias("lead")))
-    leads = leads.select("token", F.col("lead.k").alias("x"), F.col("lead.k2").alias("x2"), F.col("lead.n").alias("x_n"), F.col("lead.at").alias("x_at"))
-    followers = listed.join(leads, "token").filter("k <> x or k2 <> x2")
-    pairs = kept(followers.filter(_may_match(similarity)).select("k", "k2", "n", "x", "x2", "x_n").distinct())
+def _near(lines: DataFrame, rows: DataFrame, shingle: int, similarity: float, crowd: int) -> DataFrame:
+    """(k, k2): those of `lines` (k, k2, first, n, body) that some earlier one matches; `rows` (k, token) are their lists."""
+    listed = kept(rows.join(lines.select("k", "k2", "first", "n"), "k"))
+    leads = listed.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("first", "k", "k2", "n")).alias("lead"))
+    leads = kept(leads.select("token", "df", F.col("lead.k").alias("x"), F.col("lead.k2").alias("x2"), F.col("lead.n").alias("x_n")))
+    followers = listed.join(leads, "token")
+    pairs = followers.filter("k <> x or k2 <> x2").filter(_alike_in_length(similarity)).select("k", "k2", "n", "x", "x2", "x_n")
+    pairs = kept(_sharing(pairs, similarity))
     copies = kept(_verified(pairs, lines, shingle, similarity))
     dropped(pairs)
-    # The others, under tokens that hold more than them and the line just tried.
-    rest = kept(followers.filter("df > 2").select("token", "df", "k", "k2", "first", "n", "at", "x", "x2").join(copies, ["k", "k2"], "left_anti"))
-    earlier = listed.join(kept(rest.select("token").distinct()), "token")
-    every, earlier = listed, kept(earlier.select("token", *(F.col(c).alias(f"x_{c}") for c in ("k", "k2", "first", "n", "at"))))
-    dropped(every)
-    fits = (F.col("x_first") < F.col("first")) & ((F.col("x_k") != F.col("x")) | (F.col("x_k2") != F.col("x2"))) & _may_match(similarity)
-    pairs = rest.filter(F.col("df") <= crowd).join(earlier, "token").filter(fits)
-    few = kept(_verified(kept(pairs.select("k", "k2", "n", F.col("x_k").alias("x"), F.col("x_k2").alias("x2"), "x_n").distinct()), lines, shingle, similarity))
+    # The others against all earlier lines under their tokens; the leads again, as they needn't lead under all tokens that they share.
+    rest = followers.filter("k <> x or k2 <> x2").select("token", "df", "k", "k2", "first", "n")
+    rest = kept(rest.join(copies, ["k", "k2"], "left_anti"))
+    earlier = listed.select("token", *(F.col(c).alias(f"x_{c}") for c in ("k", "k2", "first", "n")))
+    fits = (F.col("x_first") < F.col("first")) & _alike_in_length(similarity)
     crowded = rest.filter(F.col("df") > crowd)
-    if crowded.isEmpty():
+    spare = None if (none := crowded.isEmpty()) else kept(crowded.groupBy("k", "k2").agg(F.count("*").alias("spare")))
+    pairs = rest.filter(F.col("df") <= crowd).join(earlier, "token").filter(fits)
+    pairs = kept(_sharing(pairs.select("k", "k2", "n", F.col("x_k").alias("x"), F.col("x_k2").alias("x2"), "x_n"), similarity, spare))
+    few = kept(_verified(pairs, lines, shingle, similarity))
+    dropped(pairs)
+    if none:
+        dropped(listed, leads, rest)
         return copies.unionByName(few)
     crowded = kept(_with_tokens(crowded.join(few, ["k", "k2"], "left_anti"), lines, shingle))
     others = earlier.join(crowded.select("token").distinct(), "token", "left_semi").withColumnRenamed("x_k", "k").withColumnRenamed("x_k2", "k2")
     others = kept(_with_tokens(others, lines, shingle).withColumnsRenamed({"k": "x_k", "k2": "x_k2", "tokens": "x_tokens", "token": "x_token"}))
-    many = crowded.join(others, (F.col("token") == F.col("x_token")) & fits & _similar("tokens", "x_tokens", similarity), "left_semi").select("k", "k2").distinct()
-    return copies.unionByName(few).unionByName(kept(many))
+    many = kept(crowded.join(others, (F.col("token") == F.col("x_token")) & fits & _similar("tokens", "x_tokens", similarity), "left_semi").select("k", "k2").distinct())
+    dropped(listed, leads, rest, crowded, others)
+    return copies.unionByName(few).unionByName(many)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
@@ -197,17 +237,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the order of their texts' hashes, `row`, which is 0 where no id repeats; rows that repeat both are one document. A
     null id comes first. An empty table gives no rows.
     """
-    lines = _lines(_chosen(docs, id_col, text_col))
-    index = kept(_index(lines, shingle, similarity))
+    chosen = _chosen(docs, id_col, text_col)
+    lines = _lines(chosen)
+    index = kept(_index(lines, shingle, similarity, word_levels(chosen)))
+    places = index.filter("line is not null").drop("token")
     at = F.struct("id", "row", "line")
-    again = index.groupBy("k", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    suspects = _suspects(lines, index)
-    matched = _near(suspects, shingle, similarity, crowd)
+    again = places.groupBy("k", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    suspects, rows = _suspects(lines, index, shingle)
+    matched = _near(suspects, rows, shingle, similarity, crowd)
     near = matched.join(suspects, ["k", "k2"])
     doomed = again.select("k", "k2", "first", F.lit(False).alias("gone")).unionByName(near.select("k", "k2", "first", F.lit(True).alias("gone")))
     doomed = kept(doomed.groupBy("k", "k2").agg(F.any_value("first").alias("first"), F.max("gone").alias("gone")))
-    dropped(suspects)
-    gone = maybe_in(index.select("k", "k2", "id", "row", "line"), "k", doomed).join(doomed, ["k", "k2"]).filter(F.col("gone") | ~at.eqNullSafe(F.col("first")))
+    dropped(suspects, rows)
+    gone = maybe_in(places, "k", doomed).join(doomed, ["k", "k2"]).filter(F.col("gone") | ~at.eqNullSafe(F.col("first")))
     found = kept(gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("removed")))
     dropped(index, doomed)
     return found
