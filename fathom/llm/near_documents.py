@@ -5,10 +5,12 @@ Two documents are linked if the Jaccard similarity of their tokens is at least `
 
 1. Documents of equal token sets are one, under a hash of the set. Each set has a SimHash of its tokens; fingerprints within
    `bits` bits are found by `simhash.links`, and sets that it brings together are linked if their tokens are similar.
-2. The rest, similar sets whose fingerprints lie farther apart, is found exactly. Similar sets share a token of their prefixes, the first ``n - ceil(similarity * n) + 1`` of n tokens in any one order
-   of all tokens: by how rare their words are together, as the words of their hash buckets occur in all documents (a table of fixed size), then by
-   hash. Only prefixes are kept. A set that shares no token of its prefix with a different set has no near-duplicate and is
-   done.
+2. The rest, similar sets whose fingerprints lie farther apart, is found exactly. Similar sets share at least m tokens of their prefixes, the first ``n - ceil(similarity * n) + m`` of n tokens in any one order
+   of all tokens (m, of the smaller set, is 1 and a tenth of n): by how rare their words are together, as the words of their hash buckets occur in all documents (a table of fixed size), then by
+   hash. Only prefixes are kept. A set that shares fewer tokens of its prefix with different sets has no near-duplicate and is
+   done; so sets that only quote the same passage are never paired. The others list their prefixes (m is 1) anew, by how
+   many of them hold a token at all: tokens of one set come first and are not listed, so that edited copies of one
+   text, whose own words make up a prefix, don't meet unless they are nearly similar.
 3. Under each shared token every set is verified against one leader, so that copies of an original are linked by as
    many pairs as there are copies. Tokens whose sets are all connected by then are done; under tokens that more than `crowd`
    sets hold, other leaders follow for some rounds. What is left is compared in pairs, less those that are
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash, vec
@@ -35,6 +37,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS = 2
 #: Rounds of leaders under crowded tokens before their sets are paired.
 ROUNDS = 3
+#: Share of a set's tokens that a prefix holds, and similar sets share in it, beyond the one of a plain prefix.
+MORE = 0.1
+#: Rounds in which sets that share too few prefix tokens go, and then tokens that only they shared.
+NARROWED = 2
 #: Buckets of the table of word counts.
 BUCKETS = 1 << 17
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -116,7 +122,8 @@ def _sets(docs: DataFrame, shingle: int, similarity: float, levels: np.ndarray)
                 key = vec.mix(total[ends[1:]] - total[ends[:-1]]).view(np.int64)
                 row = np.repeat(np.arange(len(size)), size)
                 order = np.lexsort((tokens, ranks, row))
-                most = np.where(size > 0, size - np.ceil(size * similarity - 1e-9) + 1, 0).astype(np.int64)
+                least = np.ceil(size * similarity - 1e-9)
+                most = np.where(size > 0, size - least + np.minimum(np.floor(size * MORE) + 1, least), 0).astype(np.int64)
                 inside = np.arange(len(row)) - ends[row] < most[row]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(most))), pa.int32()), pa.array(tokens[order][inside]))
                 arrays = [*(batch.column(c).slice(first, last - first) for c in ("id", "h")), pa.array(key), pa.array(size.astype(np.int32)), pa.array(simhash.of_sets(ends, tokens)), prefix]
@@ -183,6 +190,11 @@ def _led(listed: DataFrame, turn: int, similarity: float) -> DataFrame:
     return _sharing(listed.join(lead, "token").filter((F.col("root") != F.col("x_root")) & _may_match(similarity)), similarity)
 
 
+def _common(n: Column, similarity: float) -> Column:
+    """How many tokens similar sets share in their prefixes if the smaller set has `n`."""
+    return F.least(F.floor(n * MORE) + 1, F.ceil(n * similarity - 1e-9))
+
+
 def _sharing(rows: DataFrame, similarity: float) -> DataFrame:
     """(key, x): the pairs of `rows` (key, n, x, x_n; one for each shared prefix token) that share enough of them."""
     shared = F.ceil((F.col("n") + F.col("x_n")) * (similarity / (1 + similarity)) - 1e-9)
@@ -197,6 +209,40 @@ def _suspects(sets: DataFrame) -> DataFrame:
     return kept(maybe_in(listed, "token", shared).join(shared, "token").distinct())
 
 
+def _narrowed(listed: DataFrame, similarity: float, rounds: int = NARROWED) -> DataFrame:
+    """The rows of `listed` (key, n, at, token) whose sets share enough tokens of their prefixes with any others to be similar to one."""
+    need = _common(F.ceil(F.col("n") * similarity - 1e-9), similarity)
+    for _ in range(rounds):
+        enough = listed.groupBy("key", "n").agg(F.count("*").alias("common")).filter(F.col("common") >= need).select("key")
+        left = kept(listed.join(enough, "key"))
+        shared = left.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
+        before, listed = listed, kept(left.join(shared, "token").select("key", "n", "at", "token"))
+        dropped(left, *([before] if hasattr(before, "kept_at") else []))
+    return listed
+
+
+def _by_number(listed: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(key, n, at, token): the prefixes of the sets of `listed`, with all their tokens ordered by how many of these sets hold them;
+    without the tokens of a single set, which come first."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, ends, tokens, _ in token_sets(batch.column("text"), shingle):
+                key = batch.column("key").slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens))], ["key", "n", "tokens"])
+
+    whole = kept(_texts(docs, sets, listed.select("key")).select("key", "text").mapInArrow(work, "key long, n int, tokens array<long>"))
+    every = whole.select("key", "n", F.explode_outer("tokens").alias("token"))
+    shared = kept(every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
+    rows = maybe_in(every, "token", shared).join(shared, "token")
+    own = Window.partitionBy("key")
+    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1
+    rows = rows.withColumn("at", at.cast("int")).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9))
+    out = kept(rows.select("key", "n", "at", "token"))
+    dropped(whole, shared)
+    return out
+
+
 def _texts(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, text): a text of each set of `keys`, fetched from `docs` (id, text, h)."""
     keys = kept(keys.distinct())
@@ -225,7 +271,7 @@ def links_by_fingerprint(docs: DataFrame, sets: DataFrame, shingle: int = SHINGL
 def links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD, rounds: int = ROUNDS, bits: int = BITS) -> DataFrame:
     """(a, b): links that join exactly the keys of `sets` connected by similar pairs; not all such pairs."""
     found = links_by_fingerprint(docs, sets, shingle, similarity, bits)
-    listed = _suspects(sets)
+    listed = _by_number(_narrowed(_suspects(sets), similarity), docs, sets, shingle, similarity)
     for turn in range(rounds):
         listed = _open(listed, found)
         rows = listed if turn == 0 else listed.filter(F.col("df") > crowd)

@@ -106,3 +106,24 @@ def test_odd_rows(spark):
     kept = near_documents.one_of_each(docs)
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "2", "None"] and kept.columns == docs.columns
     assert near_documents.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_quoted_passages_and_edited_copies_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    passage = " ".join(f"passage{i}" for i in range(8))
+    quoting = [(i, f"{' '.join(rng.choices(words, k=60))} {passage} {' '.join(rng.choices(words, k=60))}") for i in range(60)]
+    text = " ".join(f"own{i}" for i in range(120))
+    copies = [(100 + i, edited(rng, words, text, 7)) for i in range(60)]  # some 0.6 of each other
+    near = [(200, quoting[0][1] + " end"), (201, copies[0][1] + " end")]
+    rows, made, sharing = quoting + copies + near, [], near_documents._sharing
+
+    def counted(found, similarity):
+        made.append(found.count())
+        return sharing(found, similarity)
+
+    monkeypatch.setattr(near_documents, "_sharing", counted)
+    monkeypatch.setattr(near_documents, "links_by_fingerprint", lambda docs, *_: docs.sparkSession.createDataFrame([], "a long, b long"))
+    got = {r.id: r.component for r in near_documents.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowd=2).collect()}
+    assert got == brute(rows, 5, 0.8) and got[200] == 0 and got[201] == 100
+    assert sum(made) < 2 * len(rows)
