@@ -4,15 +4,15 @@ A line's tokens are its distinct shingles of `shingle` lower-cased words; a line
 words. Two lines match if the Jaccard similarity of their tokens is at least `similarity`; a line goes if an earlier
 line, by (document id, line number), matches it. Lines without a word are left alone.
 
-Lines that match share a token of their prefixes, the first ``n - ceil(similarity * n) + 1`` of n tokens in any one order
-of all tokens.
+Lines that match share m tokens of their prefixes, the first ``n - ceil(similarity * n) + m`` of n tokens in any one order
+of all tokens, or all that they have in common if that is fewer.
 
-1. Every line lists a superset of its prefix in the order of the tokens' first words' hashes, without hashing its other
-   tokens. Tokens that only equal lines list are done with, and so are the lines, most of all, that list no other. What is
-   left are the suspects; equal lines are folded into the earliest of them.
+1. Every line lists a superset of its prefix (m is `COMMON`) in the order of the tokens' first words' hashes, without hashing its other
+   tokens. Tokens that only equal lines list are done with, and so are the lines, most of all, that list fewer than m others: a
+   passage of a few words that many lines quote doesn't bring them together. What is left are the suspects; equal lines are folded into the earliest of them.
 2. The suspects get all their tokens, in the order of their rarity: by how often the tokens of their hash bucket occur on
    suspects (a table of fixed size), then by hash. Each is verified against the earliest line under each token of
-   its prefix, where the length and positional filters let them match; that finds copies of an original whatever
+   its prefix (m is 1), where the length and positional filters let them match; that finds copies of an original whatever
    their number. Only suspects without such a match are held against all earlier lines under their tokens: as pairs
    that pass the same filters, or, under tokens that more than `crowd` lines list, by a semi-join that stops at the
    first match.
@@ -34,6 +34,8 @@ from .common import documents, dropped, kept, maybe_in
 SHINGLE, SIMILARITY = 5, 0.8
 #: Lines under one token that are still paired; above it the semi-join takes over.
 CROWD = 64
+#: Tokens that matching lines share in the lists of the first step, if they have as many in common.
+COMMON = 4
 #: Buckets of the table of token counts; a power of two.
 BUCKETS = 1 << 17
 #: White space besides the blank and the line's end.
@@ -97,25 +99,30 @@ def _prefix(n: Column, similarity: float) -> Column:
 
 
 def _index(lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, row, line, k, k2, prefix): two hashes of every line, and the hashes of its listed tokens; some may be null.
+    """(id, row, line, k, k2, prefix): two hashes of every line, and the hashes of its listed tokens; one may be null.
 
     The first p distinct tokens begin with no more than the p smallest first words, so the tokens of those are listed.
+    A line of n tokens that matches has `COMMON` of its listed ones in common with the other, or ceil(similarity * n) if that is
+    fewer: the first of the tokens in common are listed by both.
     """
     hashed = lines.select("id", "row", "line", F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), F.transform(F.array_remove(F.split("body", " "), ""), lambda w: F.xxhash64(w)).alias("hashes"))
     opening = F.expr(f"slice(hashes, 1, greatest(size(hashes) - {shingle - 1}, 1))")
-    last = F.get(F.sort_array(F.array_distinct(opening)), _prefix(F.size(opening), similarity) - 1)
+    last = F.get(F.sort_array(F.array_distinct(opening)), _prefix(F.size(opening), similarity) + COMMON - 2)
     bounded = hashed.withColumn("upto", F.coalesce(last, F.lit((1 << 63) - 1)))
     # `upto` is named twice: so it is worked out once a line and not once a word.
     listed = F.transform(opening, lambda h, i: F.when((h < F.col("upto")) | (h == F.col("upto")), F.xxhash64(*(F.get("hashes", i + j) for j in range(shingle)))))
     return bounded.select("id", "row", "line", "k", "k2", F.array_distinct(listed).alias("prefix"))
 
 
-def _suspects(lines: DataFrame, index: DataFrame) -> DataFrame:
-    """(k, k2, first, body) of the different lines that share a listed token with a line of another hash."""
-    listed = index.select("k", F.explode_outer("prefix").alias("token")).filter("token is not null")
+def _suspects(lines: DataFrame, index: DataFrame, similarity: float) -> DataFrame:
+    """(k, k2, first, body) of the different lines that share enough listed tokens with lines of another hash to match one."""
+    tokens = F.size("prefix") - F.array_contains(F.transform("prefix", F.isnull), True).cast("int")
+    need = F.least(F.lit(COMMON), F.ceil(tokens * similarity - 1e-9)).cast("int")
+    listed = index.select("k", need.alias("need"), F.explode_outer("prefix").alias("token")).filter("token is not null")
     shared = kept(listed.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a <> b").select("token"))
     # Inner joins, as Spark would move a semi-join below the bitmap's.
-    suspect = kept(maybe_in(listed, "token", shared).join(shared, "token").select("k").distinct())
+    found = maybe_in(listed, "token", shared).join(shared, "token").select("k", "need", "token").repartition("k").distinct()
+    suspect = kept(found.groupBy("k").agg(F.count("*").alias("n"), F.min("need").alias("need")).filter("n >= need").select("k"))
     pair = kept(maybe_in(index.select("k", "k2"), "k", suspect).distinct().join(suspect, "k"))  # a line's copies meet before the join
     keyed = lines.select(F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), "id", "row", "line", "body")
     folded = maybe_in(keyed, "k", suspect).groupBy("k", "k2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.any_value("body").alias("body"))
@@ -201,7 +208,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     index = kept(_index(lines, shingle, similarity))
     at = F.struct("id", "row", "line")
     again = index.groupBy("k", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    suspects = _suspects(lines, index)
+    suspects = _suspects(lines, index, similarity)
     matched = _near(suspects, shingle, similarity, crowd)
     near = matched.join(suspects, ["k", "k2"])
     doomed = again.select("k", "k2", "first", F.lit(False).alias("gone")).unionByName(near.select("k", "k2", "first", F.lit(True).alias("gone")))

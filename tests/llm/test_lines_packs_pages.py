@@ -55,6 +55,25 @@ def test_lines_against_all_pairs(spark, seed, crowd):
     assert got == removed(rows, 3, 0.8)
 
 
+def test_lines_that_quote_one_passage_are_no_suspects(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, seen, near = text(7), [], line_dedup._near
+    rows = [(i, f"{text(12)} {passage} {text(12)}") for i in range(80)]
+    rows += [(100 + i, " ".join(f"x{i}.{j}" for j in range(n))) for i, n in enumerate((4, 5, 6, 7, 8, 9, 12))]
+    rows += [(200, rows[0][1] + " end"), *((300 + r[0], r[1] + " end") for r in rows[80:])]  # of n + 1 words; 0.8 or more from nine words on
+
+    def counted(lines, *how):
+        seen.append(lines.count())
+        return near(lines, *how)
+
+    monkeypatch.setattr(line_dedup, "_near", counted)
+    got = {r.id: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == removed(rows, 5, 0.8) and set(got) == {200, 404, 405, 406}
+    assert seen[0] <= 12
+
+
 def test_bitmap_probe_keeps_all_values_and_splits_the_rows(spark):
     values = spark.range(-500, 500).select(F.xxhash64("id").alias("h"))
     rows = spark.range(-3000, 3000).select(F.xxhash64("id").alias("h"))
