@@ -70,18 +70,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def maybe_in(rows: DataFrame, column: str, values: DataFrame, others: bool = False) -> DataFrame:
-    """Those of `rows` whose `column`, a hash, may be among that of `values`; with `others`, those that are surely not.
-
-    A bitmap of fixed size is broadcast. What it lets through by chance, the more the fuller it is, is for an exact join after it.
-    """
+def bitmap(column: str, values: DataFrame) -> DataFrame:
+    """A table of BITMAP bits that are set at the places of the hashes in `column` of `values`, for any number of calls of `maybe_in`."""
     place = F.pmod(column, F.lit(BITMAP))
     bits = values.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("__bit"))
     # As longs, which a probe reads one by one; of a binary it would copy all.
     made = bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bytes"))
     longs = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("__bytes", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-    bitmap = kept(made.select("__bucket", longs.alias("__bitmap")))
-    joined = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(place) == F.col("__bucket"), "left" if others else "inner")
+    return kept(made.select("__bucket", longs.alias("__bitmap")))
+
+
+def maybe_in(rows: DataFrame, column: str, values: DataFrame, others: bool = False) -> DataFrame:
+    """Those of `rows` whose `column`, a hash, may be among that of `values`, or of a `bitmap` of them; with `others`, those that are surely not.
+
+    A bitmap of fixed size is broadcast. What it lets through by chance, the more the fuller it is, is for an exact join after it.
+    """
+    bits = values if "__bitmap" in values.columns else bitmap(column, values)
+    place = F.pmod(column, F.lit(BITMAP))
+    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("__bucket"), "left" if others else "inner")
     bit = F.bitmap_bit_position(place).cast("int")
     word = F.get("__bitmap", F.shiftright(bit, 6))
     hit = F.coalesce(F.getbit(word, 56 - F.shiftright(bit, 3) % 8 * 8 + bit % 8) == 1, F.lit(False))

@@ -10,26 +10,28 @@ of all tokens, or all that they have in common if that is fewer.
 1. Every line lists a superset of its prefix (m is `COMMON`) in the order of the tokens' first words' hashes, without hashing its other
    tokens. Tokens that only equal lines list are done with, and so are the lines, most of all, that list fewer than m others: a
    passage of a few words that many lines quote doesn't bring them together. What is left are the suspects; equal lines are folded into the earliest of them.
-2. The suspects get all their tokens, in the order of their rarity: by how often the tokens of their hash bucket occur on
+2. The suspects get all their tokens and a number in the order of the lines; the tokens are put in the order of their rarity: by how often the tokens of their hash bucket occur on
    suspects (a table of fixed size), then by hash. Each is verified against the earliest line under each token of
-   its prefix (m is 1), where the length and positional filters let them match; that finds copies of an original whatever
+   its prefix (m is 1); that finds copies of an original whatever
    their number. Only suspects without such a match are held against all earlier lines under their tokens: as pairs
-   that pass the same filters, or, under tokens that more than `crowd` lines list, by a semi-join that stops at the
+   that pass the length and positional filters, or, under tokens that more than `crowd` lines list, by a semi-join that stops at the
    first match.
 
 Only suspects' texts and rows of shared tokens are shuffled, as far as bitmaps of fixed size over their hashes tell them from others;
 what a bitmap lets through is joined exactly after it. Lines are told apart by 128 bits of hash.
 
-The optimiser copies the definition of what an inner `explode` unfolds, or a filter asks of a computed column, into filters
-below, where token lists would be made anew for each word. So `explode_outer` is used, and verdicts are aggregated.
+The optimiser copies the definition of what an inner `explode` unfolds into filters below, where token lists would be made
+anew for each word. So `explode_outer` is used.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, kept, maybe_in
+from .common import bitmap, documents, dropped, kept, maybe_in
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Lines under one token that are still paired; above it the semi-join takes over.
@@ -57,26 +59,16 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("id", "row", F.posexplode_outer(F.split(text, "\n")).alias("line", "body")).filter(F.ltrim("body") != "")
 
 
-def _words(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("words", F.array_remove(F.split("body", " "), ""))
-
-
-def _window(at: Column, shingle: int) -> Column:
-    """The hash of the shingle of `words` that begins there; words past the end count as none."""
-    return F.xxhash64(*(F.get("words", at + j) for j in range(shingle)))
-
-
-def _tokens(shingle: int, words: str = "words") -> Column:
+def _tokens(shingle: int) -> Column:
     """The distinct tokens of `words`, in one pass."""
-    openings = F.expr(f"slice({words}, 1, greatest(size({words}) - {shingle - 1}, 1))")
-    return F.array_distinct(F.transform(openings, lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, shingle)))))
+    openings = F.expr(f"slice(words, 1, greatest(size(words) - {shingle - 1}, 1))")
+    return F.array_distinct(F.transform(openings, lambda w, i: F.xxhash64(w, *(F.get("words", i + j) for j in range(1, shingle)))))
 
 
-def token_levels(lines: DataFrame, shingle: int = SHINGLE, buckets: int = BUCKETS) -> list[int]:
-    """How frequent the tokens of each hash bucket are on all `lines` (body): the number of binary digits of their count."""
-    last = F.expr(f"greatest(size(words) - {shingle}, 0)")
-    at = _words(lines.select("body")).select("words", F.explode_outer(F.sequence(F.lit(0), last)).alias("at"))
-    counts = at.groupBy(_window(F.col("at"), shingle).bitwiseAND(buckets - 1).alias("b")).agg(F.count("*").alias("n")).toArrow()
+def token_levels(lines: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """How frequent the tokens of each hash bucket are on all `lines` (tokens): the number of binary digits of their count."""
+    every = lines.select(F.explode_outer("tokens").alias("token"))
+    counts = every.groupBy(F.col("token").bitwiseAND(buckets - 1).alias("b")).agg(F.count("*").alias("n")).toArrow()
     levels = [0] * buckets
     for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
         levels[b] = n.bit_length()
@@ -99,35 +91,41 @@ def _prefix(n: Column, similarity: float) -> Column:
 
 
 def _index(lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, row, line, k, k2, prefix): two hashes of every line, and the hashes of its listed tokens; one may be null.
+    """(k, need, token, id, row, line, k2): the listed tokens of every line, one a row, and a hash of the line.
 
     The first p distinct tokens begin with no more than the p smallest first words, so the tokens of those are listed.
     A line of n tokens that matches has `COMMON` of its listed ones in common with the other, or ceil(similarity * n) if that is
-    fewer: the first of the tokens in common are listed by both.
+    fewer: the first of the tokens in common are listed by both. It has as many tokens as words that begin them, at least,
+    and `need` is reckoned from these. Only a line's first row tells where the line is, with its second hash; its token may be null.
     """
     hashed = lines.select("id", "row", "line", F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), F.transform(F.array_remove(F.split("body", " "), ""), lambda w: F.xxhash64(w)).alias("hashes"))
-    opening = F.expr(f"slice(hashes, 1, greatest(size(hashes) - {shingle - 1}, 1))")
-    last = F.get(F.sort_array(F.array_distinct(opening)), _prefix(F.size(opening), similarity) + COMMON - 2)
-    bounded = hashed.withColumn("upto", F.coalesce(last, F.lit((1 << 63) - 1)))
-    # `upto` is named twice: so it is worked out once a line and not once a word.
-    listed = F.transform(opening, lambda h, i: F.when((h < F.col("upto")) | (h == F.col("upto")), F.xxhash64(*(F.get("hashes", i + j) for j in range(shingle)))))
-    return bounded.select("id", "row", "line", "k", "k2", F.array_distinct(listed).alias("prefix"))
-
-
-def _suspects(lines: DataFrame, index: DataFrame, similarity: float) -> DataFrame:
-    """(k, k2, first, body) of the different lines that share enough listed tokens with lines of another hash to match one."""
-    tokens = F.size("prefix") - F.array_contains(F.transform("prefix", F.isnull), True).cast("int")
-    need = F.least(F.lit(COMMON), F.ceil(tokens * similarity - 1e-9)).cast("int")
-    listed = index.select("k", need.alias("need"), F.explode_outer("prefix").alias("token")).filter("token is not null")
+    hashed = hashed.withColumn("opening", F.expr(f"slice(hashes, 1, greatest(size(hashes) - {shingle - 1}, 1))"))
+    hashed = hashed.withColumn("starts", F.sort_array(F.array_distinct("opening")))
+    upto = F.get("starts", _prefix(F.size("opening"), similarity) + COMMON - 2)
+    need = F.least(F.lit(COMMON), F.ceil(F.size("starts") * similarity - 1e-9)).cast("byte")
+    bounded = hashed.select("id", "row", "line", "k", "k2", need.alias("need"), upto.alias("upto"), "hashes", "opening")
+    # Lines of few different words list all tokens, each once. Those of the others are hashed when unfolded, as code is compiled for rows and not for `transform`.
+    every = F.array_distinct(F.transform("opening", lambda h, i: F.xxhash64(h, *(F.get("hashes", i + j) for j in range(1, shingle)))))
+    bounded = bounded.withColumn("opening", F.when(F.col("upto").isNull(), every).otherwise(F.col("opening")))
+    each = bounded.select("id", "row", "line", "k", "k2", "need", "upto", "hashes", F.posexplode_outer("opening").alias("at", "h")).filter("upto is null or h <= upto or at = 0")
+    token = F.when(F.col("upto").isNull(), F.col("h")).when(F.col("h") <= F.col("upto"), F.xxhash64("h", *(F.get("hashes", F.col("at") + j) for j in range(1, shingle))))
+    return each.select("k", "need", token.alias("token"), *(F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("id", "row", "line", "k2")))
+
+
+def _suspects(lines: DataFrame, index: DataFrame, shingle: int) -> DataFrame:
+    """(k, k2, first, tokens) of the different lines that share enough listed tokens with lines of another hash to match one."""
+    listed = index.filter("token is not null").select("k", "need", "token")
     shared = kept(listed.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a <> b").select("token"))
     # Inner joins, as Spark would move a semi-join below the bitmap's.
     found = maybe_in(listed, "token", shared).join(shared, "token").select("k", "need", "token").repartition("k").distinct()
     suspect = kept(found.groupBy("k").agg(F.count("*").alias("n"), F.min("need").alias("need")).filter("n >= need").select("k"))
-    pair = kept(maybe_in(index.select("k", "k2"), "k", suspect).distinct().join(suspect, "k"))  # a line's copies meet before the join
+    bits = bitmap("k", suspect)
+    pair = kept(maybe_in(index.filter("line is not null").select("k", "k2"), "k", bits).distinct().join(suspect, "k"))  # a line's copies meet before the join
     keyed = lines.select(F.xxhash64("body").alias("k"), F.xxhash64("body", F.lit(1)).alias("k2"), "id", "row", "line", "body")
-    folded = maybe_in(keyed, "k", suspect).groupBy("k", "k2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.any_value("body").alias("body"))
-    found = kept(folded.join(pair, ["k", "k2"]))
-    dropped(shared, suspect, pair)
+    folded = maybe_in(keyed, "k", bits).groupBy("k", "k2").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.any_value("body").alias("body"))
+    split = folded.join(pair, ["k", "k2"]).withColumn("words", F.array_remove(F.split("body", " "), ""))
+    found = kept(split.select("k", "k2", "first", _tokens(shingle).alias("tokens")))
+    dropped(shared, suspect, bits, pair)
     return found
 
 
@@ -143,58 +141,41 @@ def _may_match(similarity: float) -> Column:
     return (F.least("x_n", "n") >= F.greatest("x_n", "n") * similarity - 1e-9) & (most >= (F.col("x_n") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _with_tokens(rows: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
-    """`rows` (k, k2) with the tokens of their lines."""
-    return _words(rows.join(maybe_in(lines.select("k", "k2", "body"), "k", rows), ["k", "k2"])).withColumn("tokens", _tokens(shingle)).drop("body", "words")
-
-
-def _may_share(shingle: int, similarity: float) -> Column:
-    """Whether few enough of a line's different words are missing in the other: each word that no shared shingle holds
-    begins a shingle that isn't shared, but for the last few."""
-    shared = F.ceil((F.col("n") + F.col("x_n")) * (similarity / (1 + similarity)) - 1e-9)
-    return F.size(F.array_except("words", "x_words")) <= F.col("n") - shared + shingle - 1
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(k, k2): those of the distinct (k, k2, x, x2) pairs of n and x_n tokens that are similar. Bodies are moved, as they are smaller than tokens."""
-    named = pairs.select("k").unionByName(pairs.select(F.col("x").alias("k")))
-    lines = maybe_in(lines.select("k", "k2", "body"), "k", named)
-    both = pairs.join(lines, ["k", "k2"]).join(lines.select(F.col("k").alias("x"), F.col("k2").alias("x2"), F.col("body").alias("x_body")), ["x", "x2"])
-    both = _words(both).withColumn("x_words", F.array_remove(F.split("x_body", " "), "")).filter(_may_share(shingle, similarity))
-    tokens = both.select("k", "k2", _tokens(shingle).alias("tokens"), _tokens(shingle, "x_words").alias("x_tokens"))
-    return tokens.groupBy("k", "k2").agg(F.bool_or(_similar("tokens", "x_tokens", similarity)).alias("any")).filter("any").select("k", "k2")
-
-
-def _near(lines: DataFrame, shingle: int, similarity: float, crowd: int) -> DataFrame:
-    """(k, k2): those of `lines` (k, k2, first, body) that some earlier one matches."""
-    ranked = _words(lines).select("k", "k2", "first", _by_rarity(_tokens(shingle), token_levels(lines, shingle)).alias("ranked"))
-    ranked = ranked.select("k", "k2", "first", F.size("ranked").alias("n"), F.slice("ranked", F.lit(1), _prefix(F.size("ranked"), similarity)).alias("prefix"))
-    listed = kept(ranked.select("k", "k2", "first", "n", F.posexplode_outer("prefix").alias("at", "token")))
-    shared = kept(listed.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
-    every, listed = listed, kept(maybe_in(listed, "token", shared).join(shared, "token"))
-    dropped(every, shared)
-    leads = kept(listed.groupBy("token").agg(F.min(F.struct("first", "k", "k2", "n", "at")).alias("lead")))
-    leads = leads.select("token", F.col("lead.k").alias("x"), F.col("lead.k2").alias("x2"), F.col("lead.n").alias("x_n"), F.col("lead.at").alias("x_at"))
-    followers = listed.join(leads, "token").filter("k <> x or k2 <> x2")
-    pairs = kept(followers.filter(_may_match(similarity)).select("k", "k2", "n", "x", "x2", "x_n").distinct())
-    copies = kept(_verified(pairs, lines, shingle, similarity))
-    dropped(pairs)
+def _verified(pairs: DataFrame, ranked: DataFrame, similarity: float) -> DataFrame:
+    """(no): those of the distinct (no, x) pairs that are similar. Tokens are moved, as making them anew costs far more."""
+    both = pairs.join(ranked, "no").join(ranked.withColumnsRenamed({"no": "x", "tokens": "x_tokens"}), "x")
+    return both.filter(_similar("tokens", "x_tokens", similarity)).select("no").distinct()
+
+
+def _near(lines: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """(k, k2): those of `lines` (k, k2, first, tokens) that some earlier one matches. Lines are numbered in their order: one long is moved for each."""
+    numbered = kept(lines.orderBy("first").select(F.monotonically_increasing_id().alias("no"), "k", "k2", _by_rarity(F.col("tokens"), token_levels(lines)).alias("tokens")))
+    ranked, n = numbered.select("no", "tokens"), F.size("tokens")
+    listed = kept(ranked.select("no", n.alias("n"), F.posexplode_outer(F.slice("tokens", F.lit(1), _prefix(n, similarity))).alias("at", "token")))
+    leads = kept(listed.groupBy("token").agg(F.count("*").alias("df"), F.min("no").alias("x")).filter("df > 1"))
+    followers = kept(maybe_in(listed, "token", leads).join(leads, "token").filter("no <> x"))
+    copies = kept(_verified(followers.select("no", "x").distinct(), ranked, similarity))
     # The others, under tokens that hold more than them and the line just tried.
-    rest = kept(followers.filter("df > 2").select("token", "df", "k", "k2", "first", "n", "at", "x", "x2").join(copies, ["k", "k2"], "left_anti"))
-    earlier = listed.join(kept(rest.select("token").distinct()), "token")
-    every, earlier = listed, kept(earlier.select("token", *(F.col(c).alias(f"x_{c}") for c in ("k", "k2", "first", "n", "at"))))
-    dropped(every)
-    fits = (F.col("x_first") < F.col("first")) & ((F.col("x_k") != F.col("x")) | (F.col("x_k2") != F.col("x2"))) & _may_match(similarity)
+    rest = kept(followers.filter("df > 2").join(copies, "no", "left_anti"))
+    held = kept(rest.select("token").distinct())
+    earlier = kept(maybe_in(listed, "token", held).join(held, "token").select("token", *(F.col(c).alias(f"x_{c}") for c in ("no", "n", "at"))))
+    dropped(listed, leads, followers, held)
+    fits = (F.col("x_no") < F.col("no")) & (F.col("x_no") != F.col("x")) & _may_match(similarity)
     pairs = rest.filter(F.col("df") <= crowd).join(earlier, "token").filter(fits)
-    few = kept(_verified(kept(pairs.select("k", "k2", "n", F.col("x_k").alias("x"), F.col("x_k2").alias("x2"), "x_n").distinct()), lines, shingle, similarity))
+    pairs = kept(pairs.select("no", F.col("x_no").alias("x")).distinct())
+    few = kept(_verified(pairs, ranked, similarity))
+    found = [copies, few]
     crowded = rest.filter(F.col("df") > crowd)
-    if crowded.isEmpty():
-        return copies.unionByName(few)
-    crowded = kept(_with_tokens(crowded.join(few, ["k", "k2"], "left_anti"), lines, shingle))
-    others = earlier.join(crowded.select("token").distinct(), "token", "left_semi").withColumnRenamed("x_k", "k").withColumnRenamed("x_k2", "k2")
-    others = kept(_with_tokens(others, lines, shingle).withColumnsRenamed({"k": "x_k", "k2": "x_k2", "tokens": "x_tokens", "token": "x_token"}))
-    many = crowded.join(others, (F.col("token") == F.col("x_token")) & fits & _similar("tokens", "x_tokens", similarity), "left_semi").select("k", "k2").distinct()
-    return copies.unionByName(few).unionByName(kept(many))
+    if not crowded.isEmpty():
+        crowded = kept(crowded.join(few, "no", "left_anti").join(ranked, "no"))
+        others = earlier.join(crowded.select("token").distinct(), "token", "left_semi")
+        others = kept(others.join(ranked.withColumnsRenamed({"no": "x_no", "tokens": "x_tokens"}), "x_no").withColumnRenamed("token", "x_token"))
+        many = crowded.join(others, (F.col("token") == F.col("x_token")) & fits & _similar("tokens", "x_tokens", similarity), "left_semi")
+        found.append(kept(many.select("no").distinct()))
+        dropped(crowded, others)
+    near = kept(numbered.select("no", "k", "k2").join(reduce(DataFrame.unionByName, found), "no").select("k", "k2"))
+    dropped(numbered, rest, earlier, pairs, *found)
+    return near
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
@@ -207,14 +188,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = _lines(_chosen(docs, id_col, text_col))
     index = kept(_index(lines, shingle, similarity))
     at = F.struct("id", "row", "line")
-    again = index.groupBy("k", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    suspects = _suspects(lines, index, similarity)
-    matched = _near(suspects, shingle, similarity, crowd)
+    heads = index.filter("line is not null")
+    again = heads.groupBy("k", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    suspects = _suspects(lines, index, shingle)
+    matched = _near(suspects, similarity, crowd)
     near = matched.join(suspects, ["k", "k2"])
     doomed = again.select("k", "k2", "first", F.lit(False).alias("gone")).unionByName(near.select("k", "k2", "first", F.lit(True).alias("gone")))
     doomed = kept(doomed.groupBy("k", "k2").agg(F.any_value("first").alias("first"), F.max("gone").alias("gone")))
     dropped(suspects)
-    gone = maybe_in(index.select("k", "k2", "id", "row", "line"), "k", doomed).join(doomed, ["k", "k2"]).filter(F.col("gone") | ~at.eqNullSafe(F.col("first")))
+    gone = maybe_in(heads.select("k", "k2", "id", "row", "line"), "k", doomed).join(doomed, ["k", "k2"]).filter(F.col("gone") | ~at.eqNullSafe(F.col("first")))
     found = kept(gone.groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("removed")))
     dropped(index, doomed)
     return found

@@ -74,6 +74,14 @@ def test_lines_that_quote_one_passage_are_no_suspects(spark, monkeypatch):
     assert seen[0] <= 12
 
 
+def test_tokens_of_suspects_are_made_once(spark, monkeypatch):
+    made, tokens = [], line_dedup._tokens
+    monkeypatch.setattr(line_dedup, "_tokens", lambda *how: made.append(how) or tokens(*how))
+    rows = [(1, " ".join(f"w{k}" for k in range(20)) + "\n" + "go " * 40), (2, " ".join(f"w{k}" for k in range(21)) + "\n" + "go " * 41), (3, "go go go go\nalone")]
+    got = {r.id: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == removed(rows, 5, 0.8) and set(got) == {2} and len(made) == 1
+
+
 def test_bitmap_probe_keeps_all_values_and_splits_the_rows(spark):
     values = spark.range(-500, 500).select(F.xxhash64("id").alias("h"))
     rows = spark.range(-3000, 3000).select(F.xxhash64("id").alias("h"))
